@@ -111,8 +111,13 @@ def condition_align(samples: DataFrame, seed: int | None = None) -> DataFrame:
     return grouped.join(F.broadcast(files), F.size("reps") == F.col("_files")).drop("_files")  # one row
 
 
-def variance_sample(samples: DataFrame, logged: bool = False, log: bool = True) -> DataFrame:
-    """tr, mean, var (population) over all files' draws, log values by default."""
+def variance_sample(samples: DataFrame, logged: bool = False, log: bool = True, k: int | None = None, seed: int = 0) -> DataFrame:
+    """tr, mean, var (population) over the files' draws, log values by default.
+
+    All draws count; ``k`` takes that many per series instead, with replacement.
+    """
+    if k is not None:
+        samples = subsample(samples, k, seed)
     x = with_log(samples, "le0", logged or not log)
     return x.groupBy("tr").agg(F.avg("value").alias("mean"), F.var_pop("value").alias("var"))
 
@@ -120,7 +125,8 @@ def variance_sample(samples: DataFrame, logged: bool = False, log: bool = True)
 def variance_sqdif(samples: DataFrame, logged: bool = False, log: bool = True) -> DataFrame:
     """tr, mean, var from squared differences: two halves of one file, or the first two files.
 
-    Expects equal-length series; the last draw of an odd single file is left out.
+    N is the series length of the first file; the last draw of an odd series has no partner,
+    and sums are divided by N as they always were.
     """
     x = with_log(samples, "le0", logged or not log)
     order = Window.orderBy("file_idx")
@@ -134,13 +140,13 @@ def variance_sqdif(samples: DataFrame, logged: bool = False, log: bool = True) -
     slot = F.when(single & (F.col("n") >= half), F.col("n") - half).otherwise(F.col("n"))
     side = F.when(single, (F.col("n") >= half).cast("int")).otherwise(F.col("_f"))
     pairs = (
-        paired.withColumn("_slot", slot).withColumn("_side", side).withColumn("_half", half)
+        paired.withColumn("_slot", slot).withColumn("_side", side)
         .filter(F.col("_slot") < half)
-        .groupBy("tr", "_slot", "_half")
+        .groupBy("tr", "_slot", "_n")
         .agg(F.sum(F.when(F.col("_side") == 0, F.col("value"))).alias("a"), F.sum(F.when(F.col("_side") == 1, F.col("value"))).alias("b"))
         .filter("a is not null and b is not null")
     )
-    total = 2.0 * F.first("_half")
+    total = F.first("_n")
     return pairs.groupBy("tr").agg(
         (F.sum(F.col("a") + F.col("b")) / total).alias("mean"), (F.sum((F.col("a") - F.col("b")) ** 2) / total).alias("var")
     )
