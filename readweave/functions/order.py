@@ -16,6 +16,8 @@ def cumulative_counts(df: DataFrame, keys: list[str], value: str, split_above: i
     Copies are counted on the map side. Groups above ``split_above`` distinct values are cut at
     approximate quantiles; each range is ranked alone and shifted by the exact size of those below.
     """
+    if not keys:
+        return cumulative_counts(df.withColumn("_all", F.lit(0)), ["_all"], value, split_above).drop("_all")
     hist = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("cnt"))
     sizes = hist.groupBy(*keys).agg(F.sum("cnt").alias("n"), F.count(F.lit(1)).alias("_distinct"))
     hot = sizes.filter(F.col("_distinct") > split_above).select(*keys)

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -64,7 +65,7 @@ def gamma_values(keys: np.ndarray, shape: np.ndarray) -> np.ndarray:
     return out * boost
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _gamma_udf(key: pd.Series, shape: pd.Series) -> pd.Series:
     return pd.Series(gamma_values(key.to_numpy(), shape.to_numpy()))
 

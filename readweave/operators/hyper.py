@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -74,29 +75,23 @@ def hyper_badd(samples: DataFrame, means: DataFrame, lambda0: float = 2.0, logge
     return j.select("tr", "cond", "n", badd.alias("badd"), "reps")
 
 
-def _lgamma(x: float) -> float:
-    import math
+def reps_table(reps: np.ndarray) -> list[tuple[float, int]]:
+    """(half the replicates, cells) of a group."""
+    sizes, counts = np.unique(reps / 2.0, return_counts=True)
+    return [(float(h), int(c)) for h, c in zip(sizes, counts)]
 
-    return math.lgamma(x)
 
-
-def log_accept(alpha, beta, alpha_new, beta_new, badd, reps) -> float:
-    """Log acceptance ratio over all (transcript, condition) cells of a group."""
-    half = reps / 2.0
-    cells = badd.size
-    sizes, counts = np.unique(half, return_counts=True)
-    gammas = sum(
-        c * (_lgamma(alpha_new + h) + _lgamma(alpha) - _lgamma(alpha + h) - _lgamma(alpha_new)) for h, c in zip(sizes, counts)
-    )
-    old, new = np.log(beta + badd), np.log(beta_new + badd)
-    return cells * (alpha_new * np.log(beta_new) - alpha * np.log(beta)) + gammas + float(
-        (alpha * old - alpha_new * new + half * (old - new)).sum()
-    )
+def log_posterior(alpha: float, beta: float, badd: np.ndarray, half: np.ndarray, table: list[tuple[float, int]]) -> float:
+    """Log likelihood of all (transcript, condition) cells of a group, up to a constant."""
+    gammas = sum(c * (math.lgamma(alpha + h) - math.lgamma(alpha)) for h, c in table)
+    return badd.size * alpha * math.log(beta) + gammas - float(((alpha + half) * np.log(beta + badd)).sum())
 
 
 def metropolis(rng, badd, reps, batch: int = 1000, max_batches: int = 1000):
     """One (alpha, beta) draw with adaptive reflected normal steps, or None when it does not settle."""
     alpha, beta = rng.uniform() * 10.0, rng.uniform() * 5.0
+    half, table = reps / 2.0, reps_table(reps)
+    current = log_posterior(alpha, beta, badd, half, table)
     width, old_width, rate = 4.0, 0.0, 0.0
     for _ in range(max_batches):
         if 0.25 <= rate <= 0.5 and old_width == width:
@@ -112,9 +107,11 @@ def metropolis(rng, badd, reps, batch: int = 1000, max_batches: int = 1000):
         for _ in range(batch):
             a = abs(alpha + rng.normal() * ALPHA_STEP * width)
             b = abs(beta + rng.normal() * BETA_STEP * width)
-            if a > 0 and b > 0 and np.log(rng.uniform()) < log_accept(alpha, beta, a, b, badd, reps):
-                alpha, beta = a, b
-                accepted += 1
+            if a > 0 and b > 0:
+                proposed = log_posterior(a, b, badd, half, table)
+                if math.log(rng.uniform()) < proposed - current:
+                    alpha, beta, current = a, b, proposed
+                    accepted += 1
         rate = accepted / batch
     return None
 

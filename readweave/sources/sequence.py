@@ -112,7 +112,14 @@ def read_genome(spark: SparkSession, path: str) -> DataFrame:
     return read_fasta_records(spark, path).select(tokens(F.col("header"))[0].alias("chromosome"), "seq")
 
 
-def genome_slice(seq: Column, start: Column, end: Column) -> Column:
-    """Bases start..end, 1-based inclusive, without a tail of characters that are no base codes."""
-    span = F.substring(seq, start.cast("int"), (end - start + 1).cast("int"))
-    return F.regexp_replace(span, "[^ACGTURYKMSWBDHVNacgturykmswbdhvn-]+$", "")
+def strip_tail(seq: Column) -> Column:
+    """Drop a tail of characters that are no base codes."""
+    return F.regexp_replace(seq, "[^ACGTURYKMSWBDHVNacgturykmswbdhvn-]+$", "")
+
+
+def genome_slice(spans: DataFrame, genome: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, seq: bases start..end (1-based, inclusive) of each distinct span's chromosome."""
+    from readweave.operators.blocks import long_slices
+
+    named = genome.withColumnRenamed("chromosome", "seqname")
+    return long_slices(spans.select(keys).distinct(), named, keys, "seqname", "start", "end").select(*keys, strip_tail(F.col("_piece")).alias("seq"))

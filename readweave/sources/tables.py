@@ -67,9 +67,9 @@ def read_prob(
         noise = F.array(F.struct(F.lit(0).alias("tr_id"), F.lit(10.0).alias("value")))
         kept = F.concat(F.slice("h", F.lit(1), F.greatest(bad.cast("int") - 1, F.lit(0))), noise)
         hits = hits.withColumn("h", F.when(bad > 0, kept).otherwise(F.col("h")))
-    long = hits.select("read_id", F.col("line").alias("read_idx"), F.explode("h").alias("h")).select(
+    long = hits.select("read_id", F.col("line").alias("read_idx"), F.explode_outer("h").alias("h")).select(
         "read_id", "read_idx", F.col("h.tr_id").alias("tr_id"), F.col("h.value").alias("value")
-    )
+    ).filter("tr_id is not null")
     if layout == "LOG":
         return long.withColumnRenamed("value", "lprob")
     if layout == "OLD":
@@ -90,7 +90,7 @@ def read_samples(spark: SparkSession, path: str, file_idx: int = 0, norm: float
     """
     header = read_header(spark, path)
     line, pos = ("tr", "n") if "T" in header else ("n", "tr")
-    cells = data_lines(spark, path).select("line", F.posexplode(tokens(F.col("value"))).alias("pos", "token"))
+    cells = data_lines(spark, path).select("line", F.posexplode_outer(tokens(F.col("value"))).alias("pos", "token"))
     word = F.lower("token")
     value = (
         F.when(word == "-inf", F.lit(MINUS_INF))
