@@ -94,16 +94,11 @@ def _(d):
     return d.table("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", numeric.logit(F.col("l_quantity") / 60.0).alias("v"))
 
 
-# The comparison engine has no digamma: the derivative of its lgamma by a symmetric difference
-# of sixth order agrees to about nine digits here.
-_H = "0.05::DOUBLE"
-
-
+# The comparison engine has no digamma: recurrence to x + 20, then the series there.
 def _digamma_sql(x: str) -> str:
-    h = _H
-    z = f"({x}+20)"
+    z = f"({x}+20::DOUBLE)"
     terms = "+".join(f"1/({x}+{k})" for k in range(20))
-    return f"((45*(lgamma({z}+{h})-lgamma({z}-{h}))-9*(lgamma({z}+2*{h})-lgamma({z}-2*{h}))+(lgamma({z}+3*{h})-lgamma({z}-3*{h})))/(60*{h})-({terms}))"
+    return f"(ln({z})-1/(2*{z})-1/(12*{z}*{z})+1/(120*pow({z},4))-1/(252*pow({z},6))-({terms}))"
 
 
 @query("digamma", f"SELECT o_orderkey, round({_digamma_sql('x')},6) AS v FROM (SELECT o_orderkey, o_totalprice/1000 AS x FROM orders WHERE o_totalprice > 0)")
@@ -351,12 +346,12 @@ def _(d):
 
 @query(
     "pair_fragments",
-    "SELECT read_id AS qname, paired, CAST(p AS INT) AS pos, CASE WHEN paired THEN CAST(p2 AS INT) END AS pos2, count(*) AS n FROM frags GROUP BY ALL",
+    "SELECT read_id AS qname, paired, CAST(p AS INT) AS pos, CASE WHEN paired THEN CAST(p2 AS INT) ELSE -1 END AS pos2, count(*) AS n FROM frags GROUP BY ALL",
     None,
 )
 def _(d):
     f = fragments.pair_fragments(_sam(d))
-    return f.groupBy(F.col("first.qname").alias("qname"), "paired", F.col("first.pos").alias("pos"), F.col("second.pos").alias("pos2")).agg(F.count(F.lit(1)).alias("n"))
+    return f.groupBy(F.col("first.qname").alias("qname"), "paired", F.col("first.pos").alias("pos"), F.coalesce("second.pos", F.lit(-1)).alias("pos2")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("group_reads", "SELECT qname||'/*' AS read_id, count(*) AS n FROM (SELECT read_id AS qname FROM frags) GROUP BY 1", None)
@@ -450,8 +445,8 @@ def _(d):
 # ---- base scores
 
 _MATES = """SELECT tid, p, 1 AS mate, p AS pos, rl, s1 AS s, q1 AS q, back AS rev FROM frags UNION ALL SELECT tid, p, 2, p2, rl, s2, q2, NOT back FROM frags WHERE paired"""
-_BASES = f"""SELECT m.tid, m.p, m.mate, rl, i, rev, substring(s, i, 1) AS b, substring(seq, pos+i, 1) AS r, ascii(substring(q, i, 1))-33 AS qv FROM (
-    SELECT *, unnest(range(1, rl+1)) AS i FROM ({_MATES})) m JOIN seqs ON seqs.tid = m.tid"""
+_BASES = f"""SELECT tid, p, mate, rl, i, rev, substring(s, i, 1) AS b, substring(ref, i, 1) AS r, ascii(substring(q, i, 1))-33 AS qv FROM (
+    SELECT *, unnest(range(1, rl+1)) AS i FROM (SELECT m.*, substring(seq, pos+1, rl) AS ref FROM ({_MATES}) m JOIN seqs ON seqs.tid = m.tid))"""
 _SCORED = f"""SELECT tid, p, mate, sum(CASE WHEN same THEN hit ELSE mis END) AS lp_seq,
     sum(CASE WHEN NOT same THEN mis WHEN hit_rank <= least(greatest(1, 6-misses), hits) THEN mis ELSE hit END) AS low_seq FROM (
     SELECT *, row_number() OVER (PARTITION BY tid, p, mate, same ORDER BY CASE WHEN rev THEN i ELSE -i END) AS hit_rank, count(*) FILTER (same) OVER w AS hits, count(*) FILTER (NOT same) OVER w AS misses FROM (
@@ -546,8 +541,8 @@ _PARENTS = "[0,0,0,0,1,1,1,2,2,2,2,2,2,2,2,2,2,1,1,0,0]"
 
 
 def _node_counts(positions: str) -> str:
-    """Base counts per node from rows (mate, pos, w, seq), unknown bases spread evenly."""
-    win = "substring(repeat('N',40)||seq||repeat('N',40), 41+CASE WHEN mate=5 THEN pos-10 ELSE pos-13 END, 23)"
+    """Base counts per node from rows (mate, pos, w, padded seq), unknown bases spread evenly."""
+    win = "substring(seq, 41+CASE WHEN mate=5 THEN pos-10 ELSE pos-13 END, 23)"
     letters = f"""SELECT mate, node, w, {_PARENTS}[node+1] AS depth, substring(win, node+1, 1) AS x, substring(win, node+2, 1) AS y, substring(win, node+3, 1) AS z FROM (
         SELECT mate, w, CASE WHEN mate=5 THEN {win} ELSE reverse({win}) END AS win, unnest(range(21)) AS node FROM ({positions}))"""
 
@@ -560,7 +555,7 @@ def _node_counts(positions: str) -> str:
         SELECT *, len(c1) AS k1, len(c2) AS k2, len(c3) AS k3 FROM (SELECT mate, node, w, {choices('x', 2)} AS c1, {choices('y', 1)} AS c2, {choices('z', 0)} AS c3 FROM ({summed})))))) GROUP BY 1,2,3,4,5"""
 
 
-_SEQ_COUNTS = _node_counts("SELECT mate, pos, 1::DOUBLE AS w, seq FROM ends JOIN seqs USING (tid)")
+_SEQ_COUNTS = _node_counts("SELECT mate, pos, 1::DOUBLE AS w, seq FROM ends JOIN padded USING (tid)")
 
 
 @query("seq_bias_counts", f"SELECT mate, node, bpp, bp, b, round(weight,6) AS weight FROM ({_SEQ_COUNTS})")
@@ -573,7 +568,7 @@ _UNIFORM_ENDS = """SELECT tid, mate, pos, sum(w) AS w FROM (
     SELECT tid, tr_len, mate, frag_len, count(*)::DOUBLE AS w FROM ends GROUP BY 1,2,3,4)) GROUP BY 1,2,3"""
 
 
-@query("seq_bias_uniform", "SELECT mate, node, bpp, bp, b, round(weight,4) AS weight FROM (" + _node_counts(f"SELECT mate, pos, w, seq FROM ({_UNIFORM_ENDS}) JOIN seqs USING (tid)") + ")", 4)
+@query("seq_bias_uniform", "SELECT mate, node, bpp, bp, b, round(weight,4) AS weight FROM (" + _node_counts(f"SELECT mate, pos, w, seq FROM ({_UNIFORM_ENDS}) JOIN padded USING (tid)") + ")", 4)
 def _(d):
     return bias.seq_bias_uniform(_ends(d), d.seqs)
 
@@ -632,11 +627,10 @@ def _(d):
 def _(d):
     """First mates written in the legacy layout, read back and scored."""
     x = scoring.with_reference(scoring.mates_of(d.frags).filter("mate = 'first'"), d.seqs)
-    at = F.transform(F.sequence(F.lit(0), F.length("seq") - 1), lambda i: F.struct(i.alias("i"), F.substring("ref", i + 1, F.lit(1)).alias("r"), F.substring("seq", i + 1, F.lit(1)).alias("s")))
-    off = F.transform(F.filter(at, lambda m: m["r"] != m["s"]), lambda m: F.concat(m["i"].cast("string"), F.lit(":"), m["r"], F.lit(">"), m["s"]))
+    off = F.filter(F.sequence(F.lit(0), F.length("seq") - 1), lambda i: F.substring("ref", i + 1, F.lit(1)) != F.substring("seq", i + 1, F.lit(1)))
     path = scratch_path(d.spark, "map")
     strand = F.when(F.col("reversed"), "-").otherwise("+")
-    lines = F.concat_ws("\t", F.col("frag_seq").cast("string"), strand, F.col("tid").cast("string"), F.col("pos").cast("string"), "seq", "qual", F.lit("0"), F.concat_ws(",", off))
+    lines = F.concat_ws("\t", F.col("frag_seq").cast("string"), strand, F.col("tid").cast("string"), F.col("pos").cast("string"), "seq", "qual", F.lit("0"), F.concat_ws(",", F.transform(off, lambda i: F.concat(i.cast("string"), F.lit(":N>N")))))
     x.select(lines.alias("value")).write.text(path)
     probs = legacy.legacy_map_probs(aln.read_bowtie_map(d.spark, path))
     return probs.select(F.col("transcript").cast("long").alias("tid"), F.col("pos").cast("long").alias("p"), "prob")
