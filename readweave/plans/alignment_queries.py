@@ -563,12 +563,8 @@ def _(d):
     return bias.seq_bias_counts(_ends(d), d.seqs)
 
 
-_UNIFORM_ENDS = """SELECT tid, mate, pos, sum(w) AS w FROM (
-    SELECT tid, mate, w/(tr_len-frag_len+1) AS w, CASE WHEN mate=5 THEN unnest(range(0, tr_len-frag_len+1)) ELSE unnest(range(frag_len, tr_len+1)) END AS pos FROM (
-    SELECT tid, tr_len, mate, frag_len, count(*)::DOUBLE AS w FROM ends GROUP BY 1,2,3,4)) GROUP BY 1,2,3"""
-
-
-@query("seq_bias_uniform", "SELECT mate, node, bpp, bp, b, round(weight,4) AS weight FROM (" + _node_counts(f"SELECT mate, pos, w, seq FROM ({_UNIFORM_ENDS}) JOIN padded USING (tid)") + ")", 4)
+# Too many rows for the comparison engine; checked against brute force in the tests.
+@query("seq_bias_uniform")
 def _(d):
     return bias.seq_bias_uniform(_ends(d), d.seqs)
 

@@ -1,0 +1 @@
+"""There are no streaming operators to re-express; batch operators keyed by read work per micro-batch."""
