@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from readweave.functions.numeric import safe_log
 from readweave.functions.order import cumulative_counts
 
 
 def chain_moments(draws: DataFrame) -> DataFrame:
     """Per (tr, chain): draws, mean and sample variance of theta and of its logit."""
     t = F.col("theta")
-    x = draws.withColumn("_l", F.log(t) - F.log(1 - t))
+    x = draws.withColumn("_l", safe_log(t, "ieee") - safe_log(1 - t, "ieee"))
     return x.groupBy("tr", "chain").agg(
         F.count(F.lit(1)).alias("draws"),
         F.avg("theta").alias("mean"), F.var_samp("theta").alias("var"),

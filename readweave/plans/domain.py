@@ -65,7 +65,11 @@ class Domain:
 
     @property
     def chains(self) -> DataFrame:
-        return self.theta.select(F.col("file_idx").alias("chain"), "tr", "n", F.col("value").alias("theta"))
+        """Files as chains; one unit per draw belongs to the noise transcript, so theta < 1."""
+        s = self.series
+        sums = s.groupBy("file_idx", "n").agg(F.sum("value").alias("_t"))
+        theta = F.col("value") / (F.col("_t") + 1.0)
+        return s.join(sums, ["file_idx", "n"]).select(F.col("file_idx").alias("chain"), "tr", "n", theta.alias("theta"))
 
     @property
     def curve(self) -> DataFrame:
@@ -204,7 +208,7 @@ VIEWS: dict[str, str] = {
         SELECT CASE WHEN l_linestatus='F' THEN 0 ELSE 1 END AS cond, CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS rep,
         l_suppkey AS tr, CAST((year(l_shipdate)-1995)*12+month(l_shipdate)-1 AS BIGINT) AS n, CAST(round(l_extendedprice*100) AS BIGINT) AS c FROM lineitem) GROUP BY cond, rep, tr, n""",
     "theta": "SELECT file_idx, tr, n, value / sum(value) OVER (PARTITION BY file_idx, n) AS value FROM samples",
-    "chains": "SELECT file_idx AS chain, tr, n, value AS theta FROM theta",
+    "chains": "SELECT file_idx AS chain, tr, n, value / (sum(value) OVER (PARTITION BY file_idx, n) + 1) AS theta FROM samples",
     "curve": """SELECT ln(k*10000::DOUBLE+5000) AS expr, 1::DOUBLE+c/1000::DOUBLE AS alpha, 0.5::DOUBLE+k*0.1::DOUBLE AS beta FROM (
         SELECT CAST(floor(o_totalprice/10000) AS BIGINT) AS k, count(*) AS c FROM orders GROUP BY 1)""",
     "parts": """SELECT p_partkey AS tid, p_brand||'.'||p_type AS gene, translate(p_name,' ','_')||'-'||p_partkey AS transcript, 300+20*p_size AS length,
