@@ -331,3 +331,12 @@ def test_pair_sums_and_slices(spark):
     got = dict(rows(add_slice(req, spark.createDataFrame([(0, s)], "tid long, seq string"), F.col("at"), F.lit(20), "x", 20), "at", "x"))
     padded = "N" * 5000 + s + "N" * 5000
     assert got == {a: padded[5000 + a : 5020 + a] for a in got}
+
+
+@pytest.mark.parametrize("method", ["PR", "HS"])
+def test_other_conjugate_rules_rise_too(spark, method):
+    h = toy_hits(spark, n=80)
+    fit = vb.vb_optimise(vb.prepare_hits(h), 12, method, max_iter=8)
+    base = vb.vb_optimise(vb.prepare_hits(h), 12, "steepest", max_iter=8)
+    assert all(b >= a - 1e-9 for a, b in zip(fit.bounds, fit.bounds[1:]))
+    assert fit.bounds[-1] >= base.bounds[1]
