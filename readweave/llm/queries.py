@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from readweave.llm import decontaminate
+from readweave.llm import decontaminate, mixing, sharding
 
 QUERIES = {
+    "op3_mixing": mixing.op3_mixing,
+    "op8_sharding": sharding.op8_sharding,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 
 ORACLE = {
+    "op3_mixing": mixing.ORACLE_SQL,
     "op10_decontaminate": decontaminate.ORACLE_SQL,
 }
