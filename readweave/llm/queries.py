@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from readweave.llm import decontaminate, mixing, sharding
+from readweave.llm import decontaminate, mixing, sharding, simhash
 
 QUERIES = {
+    "op1_simhash": simhash.op1_simhash,
     "op3_mixing": mixing.op3_mixing,
     "op8_sharding": sharding.op8_sharding,
     "op10_decontaminate": decontaminate.op10_decontaminate,
