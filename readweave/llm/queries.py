@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
-from readweave.llm import decontaminate, mixing, sharding, simhash
+import corpus_pipeline
+from readweave.llm import decontaminate, mixing, sharding, simhash, toxicity
 
 QUERIES = {
+    "op6_toxicity": toxicity.op6_toxicity,
     "op1_simhash": simhash.op1_simhash,
     "op3_mixing": mixing.op3_mixing,
     "op8_sharding": sharding.op8_sharding,
     "op10_decontaminate": decontaminate.op10_decontaminate,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE = {
     "op3_mixing": mixing.ORACLE_SQL,
     "op10_decontaminate": decontaminate.ORACLE_SQL,
 }
+
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
