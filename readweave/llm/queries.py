@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from readweave.llm import decontaminate, fingerprints, mixing, sharding, simhash, toxicity
+from readweave.llm import decontaminate, fingerprints, mixing, quality, sharding, simhash, toxicity
 
 QUERIES = {
     "op6_toxicity": toxicity.op6_toxicity,
     "op1_simhash": simhash.op1_simhash,
+    "op2_quality": quality.op2_quality,
     "op3_mixing": mixing.op3_mixing,
     "op8_sharding": sharding.op8_sharding,
     "op9_fingerprints": fingerprints.op9_fingerprints,
