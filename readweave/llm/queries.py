@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from readweave.llm import decontaminate, fingerprints, mixing, quality, sharding, simhash, toxicity
+from readweave.llm import decontaminate, fingerprints, mixing, quality, sharding, simhash, toxicity, urls
 
 QUERIES = {
     "op6_toxicity": toxicity.op6_toxicity,
     "op1_simhash": simhash.op1_simhash,
     "op2_quality": quality.op2_quality,
     "op3_mixing": mixing.op3_mixing,
+    "op7_urls": urls.op7_urls,
     "op8_sharding": sharding.op8_sharding,
     "op9_fingerprints": fingerprints.op9_fingerprints,
     "op10_decontaminate": decontaminate.op10_decontaminate,
