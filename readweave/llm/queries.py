@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from readweave.llm import decontaminate, extraction, fingerprints, mixing, quality, sharding, simhash, toxicity, urls
+from readweave.llm import decontaminate, extraction, fingerprints, lm, mixing, quality, sharding, simhash, toxicity, urls
 
 QUERIES = {
+    "op4_lm": lm.op4_lm,
     "op5_extraction": extraction.op5_extraction,
     "op6_toxicity": toxicity.op6_toxicity,
     "op1_simhash": simhash.op1_simhash,
