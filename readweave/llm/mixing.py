@@ -56,9 +56,11 @@ def targets(sized: DataFrame) -> DataFrame:
     before = F.coalesce(F.sum("limit").over(by_need.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     rest = F.sum("weight").over(by_need.rowsBetween(0, Window.unboundedFollowing))
     full = limited.withColumn("full", F.col("limit") * rest <= (F.col("total") - before) * F.col("weight"))
-    unit = (F.col("total") - F.sum(F.when(F.col("full"), F.col("limit")).otherwise(0)).over(whole)) / F.sum(F.when(F.col("full"), 0).otherwise(F.col("weight"))).over(whole)
+    over = F.col("total") - F.sum(F.when(F.col("full"), F.col("limit")).otherwise(0)).over(whole)
+    unit = F.try_divide(over, F.sum(F.when(F.col("full"), 0).otherwise(F.col("weight"))).over(whole))
     target = F.when(F.col("full"), F.col("limit").cast("double")).otherwise(unit * F.col("weight"))
-    part = full.withColumn("target", target).withColumn("hi", F.sum("target").over(whole.orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)) / F.col("total"))
+    so_far = F.sum("target").over(whole.orderBy("idx").rowsBetween(Window.unboundedPreceding, 0))
+    part = full.withColumn("target", target).withColumn("hi", F.coalesce(F.try_divide(so_far, F.col("total")), F.lit(0.0)))
     part = part.withColumn("lo", F.coalesce(F.lag("hi").over(whole.orderBy("idx")), F.lit(0.0)))
     last = F.col("idx") == F.max("idx").over(whole)
     return part.select("source", "idx", "weight", "source_size", "target", "lo", F.when(last, 1.0).otherwise(F.col("hi")).alias("hi"))
