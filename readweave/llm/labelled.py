@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: dict[int, int], size: int) -> tuple[list[tuple[str, int]], float]:
-    """Texts and labels, at most ``rows[k]`` of label k (the first by a hash of the id) and at most ``size`` bytes of texts,
-    and the share of label 1 among all labelled rows. Rows with null ids, labels or texts are left out."""
+def fitted_on_sample[Model](docs: DataFrame, labels: DataFrame, label: str, rows: dict[int, int], size: int, train: Callable[[list[str], list[int], float], Model]) -> Model:
+    """What ``train`` makes of texts, their labels, and the share of label 1 among all labelled rows. It runs in one task, as the
+    sample is bounded: at most ``rows[k]`` of label k (the first by a hash of the id) and at most ``size`` bytes of texts.
+    Rows with null ids, labels or texts are left out."""
     known = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("int").alias("label"))
     counts = {r[0]: r[1] for r in known.groupBy("label").count().collect()}
     first = [known.filter(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows[k]) for k in (0, 1)]
@@ -23,5 +28,18 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: dict[i
         if total > size:
             break
         fits += 1
-    sample = [(r["text"], r["label"]) for r in got.orderBy(*order).limit(fits).select("text", "label").collect()] if fits else []
-    return sample, counts.get(1, 0) / max(1, sum(counts.values()))
+    share = counts.get(1, 0) / max(1, sum(counts.values()))
+    if not fits:
+        return train([], [], share)
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts: list[str] = []
+        kinds: list[int] = []
+        for batch in batches:
+            texts += batch.column("text").to_pylist()
+            kinds += batch.column("label").to_pylist()
+        if texts:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(texts, kinds, share))], pa.binary())], ["model"])
+
+    sample = got.orderBy(*order).limit(fits).select("text", "label")
+    return pickle.loads(sample.mapInArrow(learn, "model binary").first()["model"])

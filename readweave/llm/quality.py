@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from readweave.llm.common import fresh, raw, table
-from readweave.llm.labelled import labelled_sample
+from readweave.llm.labelled import fitted_on_sample
 
 FOLDS, HELD = 3, 1
 SAMPLE, SAMPLE_BYTES = {0: 1500, 1: 1500}, 16_000_000
@@ -108,11 +108,12 @@ def _gradient(w: dict[str, np.ndarray], text: bytes, label: int, grad: dict[str,
         grad["embed"][:, d] += np.bincount(code, back[:, d], 256)
 
 
-def train(texts: list[bytes], labels: list[int], share: float) -> Network:
+def train(texts: list[str], labels: list[int], share: float) -> Network:
     """share: the true share of label 1, of which the sample needn't be an image."""
     y = np.array(labels)
     if len(set(labels)) < 2:
         return Network({}, float(share))
+    coded = [t.encode() for t in texts]
     rng = np.random.default_rng(SEED)
     shape = {"embed": (256, EMBED), "filters": (WIDTH * EMBED, FILTERS), "bias": (FILTERS,), "mix": (3 * FILTERS, HIDDEN), "mix_bias": (HIDDEN,), "out": (HIDDEN,), "out_bias": (1,)}
     scale = {"embed": 0.5, "filters": (2 / WIDTH / EMBED) ** 0.5, "mix": (2 / 3 / FILTERS) ** 0.5, "out": HIDDEN**-0.5}
@@ -125,7 +126,7 @@ def train(texts: list[bytes], labels: list[int], share: float) -> Network:
         for i in range(0, len(order), BATCH):
             grad = {k: np.zeros_like(v) for k, v in w.items()}
             for j in order[i : i + BATCH]:
-                _gradient(w, texts[j], labels[j], grad, weight[j] / BATCH)
+                _gradient(w, coded[j], labels[j], grad, weight[j] / BATCH)
             steps += 1
             rate = RATE * min(1, steps / 40) * (1 - steps / (total + 1))
             for k, g in grad.items():
@@ -153,8 +154,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fitted(docs: DataFrame, labels: DataFrame) -> Network:
-    sample, share = labelled_sample(docs, labels.filter(~held_out(F.col("doc_id"))), "quality", SAMPLE, SAMPLE_BYTES)
-    return train([t.encode() for t, _ in sample], [k for _, k in sample], share)
+    return fitted_on_sample(docs, labels.filter(~held_out(F.col("doc_id"))), "quality", SAMPLE, SAMPLE_BYTES, train)
 
 
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:

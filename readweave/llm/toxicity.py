@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from readweave.llm.common import fresh, table, unique
-from readweave.llm.labelled import labelled_sample
+from readweave.llm.labelled import fitted_on_sample
 
 FOLDS, HELD = 5, 0
 SAMPLE, SAMPLE_BYTES = {0: 3000, 1: 1000}, 32_000_000
@@ -195,22 +195,26 @@ def train(texts: list[str], labels: list[int], share: float) -> Model:
     y = np.array(labels)
     if len(set(labels)) < 2:
         return Model(None, np.zeros(0), 0.0, np.zeros(0), float(share))
-    one = {}
-    sentences = [[{one.setdefault(p, p) for w in words_of(s) for p in pieces(bare(w)) if p} for s in SENTENCE.split(t)] for t in texts]
+    number: dict[str, int] = {}
+    docs = [np.array(sorted({number.setdefault(p, len(number)) for w in words_of(t) for p in pieces(bare(w)) if p}), np.int32) for t in texts]
     # Copies of a document count once: they mostly share the word with the lowest hash.
-    low = {w: zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in one}
-    of = [min((low[w] for s in doc for w in s), default=0) for doc in sentences]
-    groups: dict[tuple[int, int], set[str]] = {}
-    for doc, kind, key in zip(sentences, labels, of, strict=True):
-        groups.setdefault((kind, key), set()).update(*doc)
-    df = [Counter(w for (k, _), ws in groups.items() if k == kind for w in ws) for kind in (0, 1)]
+    low = np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in number])
+    groups: dict[tuple[int, int], list[np.ndarray]] = {}
+    for d, kind in zip(docs, labels, strict=True):
+        groups.setdefault((kind, int(low[d].min()) if d.size else -1), []).append(d)
+    counts = np.zeros((2, len(number)), np.int64)
+    for (kind, _), ds in groups.items():
+        counts[kind][np.unique(np.concatenate(ds))] += 1
     n0, n1 = (sum(k == kind for k, _ in groups) for kind in (0, 1))
-    odds = {w: np.log((df[1][w] + 0.1) / (n1 + 0.2)) - np.log((df[0][w] + 0.1) / (n0 + 0.2)) for w in sorted(df[0].keys() | df[1].keys())}
+    logs = np.log((counts[1] + 0.1) / (n1 + 0.2)) - np.log((counts[0] + 0.1) / (n0 + 0.2))
+    df = [dict(zip(number, c.tolist(), strict=True)) for c in counts]
+    odds = dict(sorted(zip(number, logs.tolist(), strict=True)))
     able = dict.fromkeys(sorted(w for w in odds if df[1][w] > 2 and odds[w] > 1.5)).keys()
     every = [w for w, o in odds.items() if o < 1 and df[0][w]]
     value, bar, hard = {w: min(odds[w], 2.0) + 0.3 * np.log1p(df[1][w]) for w in able}, 0.0, dict.fromkeys(sorted(every, key=lambda w: (-df[0][w], w))[:MINED])
     hard |= dict.fromkeys(every[:: max(1, len(every) // MINED)])
-    told = [s & able for doc, k in zip(sentences, labels, strict=True) if k for s in doc if s & able]
+    sentences = (s for t, k in zip(texts, labels, strict=True) if k for s in SENTENCE.split(t))
+    told = [s for s in ({p for w in words_of(s) for p in pieces(bare(w)) if p in able} for s in sentences) if s]
     model = Model(None, np.zeros(0), 0.0, np.zeros(0), float(share))
     for _ in range(ROUNDS):
         good: Counter[str] = Counter()
@@ -238,7 +242,7 @@ def train(texts: list[str], labels: list[int], share: float) -> Model:
         hard |= dict.fromkeys(sorted(every, key=lambda w: (-margin[w], w))[:MINED])
     if model.like is None:
         return model
-    x = model.features(texts, {})
+    x = np.concatenate([model.features(texts[i : i + 250], {}) for i in range(0, len(texts), 250)])
     true = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
     model.fit = _logistic(x, y, true)
     return model
@@ -271,8 +275,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fitted(docs: DataFrame, labels: DataFrame) -> Model:
-    sample, share = labelled_sample(docs, labels.filter(~held_out(F.col("doc_id"))), "toxic", SAMPLE, SAMPLE_BYTES)
-    return train([t for t, _ in sample], [k for _, k in sample], share)
+    return fitted_on_sample(docs, labels.filter(~held_out(F.col("doc_id"))), "toxic", SAMPLE, SAMPLE_BYTES, train)
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
