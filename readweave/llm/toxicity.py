@@ -43,6 +43,7 @@ SAMPLE, SAMPLE_BYTES = {0: 3000, 1: 1000}, 32_000_000
 DECAY, REACH, LONG = 0.75, 6, 24
 LANDMARKS, ROUNDS, MINED, POWER = 192, 3, 2000, 4
 LEAST, CLEAR, MOST = -1.5, 0.5, 3.0
+SURE = 0.7
 LETTERS, BINS = 64, 1024
 CACHED = 300_000
 EDGE = re.compile(r"^\W+|[\W_]+$")
@@ -209,7 +210,12 @@ def train(texts: list[str], labels: list[int], share: float) -> Model:
     logs = np.log((counts[1] + 0.1) / (n1 + 0.2)) - np.log((counts[0] + 0.1) / (n0 + 0.2))
     df = [dict(zip(number, c.tolist(), strict=True)) for c in counts]
     odds = dict(sorted(zip(number, logs.tolist(), strict=True)))
-    able = dict.fromkeys(sorted(w for w in odds if df[1][w] > 2 and odds[w] > 1.5)).keys()
+    # A word is telling if toxic documents are more among its documents than chance gives most words (Chernoff's bound).
+    both, part = counts.sum(axis=0), n1 / (n0 + n1)
+    mine = np.clip(counts[1] / np.maximum(both, 1), 1e-9, 1 - 1e-9)
+    beyond = both * (mine * np.log(mine / part) + (1 - mine) * np.log((1 - mine) / (1 - part)))
+    sure = (beyond > SURE * np.log(max(2, (both > 2).sum()))) & (logs > 1.5)
+    able = dict.fromkeys(sorted(w for w, ok in zip(number, sure.tolist(), strict=True) if ok)).keys()
     every = [w for w, o in odds.items() if o < 1 and df[0][w]]
     value, bar, hard = {w: min(odds[w], 2.0) + 0.3 * np.log1p(df[1][w]) for w in able}, 0.0, dict.fromkeys(sorted(every, key=lambda w: (-df[0][w], w))[:MINED])
     hard |= dict.fromkeys(every[:: max(1, len(every) // MINED)])
