@@ -24,6 +24,12 @@ def uniform(seed: int, *cols: Column | str) -> Column:
     return (bits.cast("double") + 0.5) * (2.0**-53)
 
 
+def portable_uniform(seed: int, *cols: Column | str) -> Column:
+    """Uniform on [0, 1) from the first 52 bits of an md5 of seed and keys, which any SQL engine can repeat."""
+    text = F.concat_ws("|", F.lit(str(int(seed))), *[(F.col(c) if isinstance(c, str) else c).cast("string") for c in cols])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") / float(1 << 52)
+
+
 def normal(seed: int, *cols: Column | str) -> Column:
     """Standard normal, JVM only."""
     radius = F.sqrt(-2.0 * F.log(uniform(seed, F.lit("r"), *cols)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -107,14 +108,7 @@ def thinning(iterations: DataFrame, total: int, out: int, i: str = "i") -> DataF
 
 
 def kept_iterations(total: int, out: int) -> set[int]:
-    """The same rule for a driver loop."""
-    kept, logged = set(), 0
-    for i in range(1, total + 1):
-        if logged < out and (total - i <= out - logged or math_floor(out / total * i) > logged):
-            kept.add(i)
-            logged += 1
-    return kept
-
-
-def math_floor(x: float) -> int:
-    return int(x // 1)
+    """The same rule for a driver loop: iterations after which one more is kept."""
+    i = np.arange(total + 1)
+    saved = np.clip(np.maximum(np.floor(out / total * i), out - total + i + 1), 0, np.minimum(i, out))
+    return set((np.flatnonzero(np.diff(saved) > 0) + 1).tolist())

@@ -48,6 +48,11 @@ def group_reads(fragments: DataFrame) -> DataFrame:
     return fragments.withColumn("read_id", canonical_read_name(F.col("first.qname")))
 
 
+def mates_differ() -> Column:
+    """Pairs whose mates carry names of different reads."""
+    return F.col("paired") & (canonical_read_name(F.col("first.qname")) != canonical_read_name(F.col("second.qname")))
+
+
 def _kinds(mate_names_differ: bool) -> dict[str, Column]:
     flag = F.col("first.flag")
     mapped = ~flag_set(flag, dna.UNMAP)

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from readweave.functions import random as rnd
 from readweave.functions.numeric import safe_log
 from readweave.functions.ranking import global_rank
 from readweave.operators.smoothing import smooth_params
@@ -18,6 +19,9 @@ from readweave.session import cut_lineage, scratch_path
 # Fixed values
 GROUP_MIN, GROUP_MAX = 10, 5000
 ALPHA_STEP, BETA_STEP = 0.1, 0.08
+START = (10.0, 5.0)
+FIRST_WIDTH, WIDTH_STEP = 4.0, 1.02
+LOW_RATE, HIGH_RATE = 0.25, 0.5
 MAX_PARAM = 5000.0
 RETRIES = 10
 
@@ -87,58 +91,70 @@ def log_posterior(alpha: float, beta: float, badd: np.ndarray, half: np.ndarray,
     return badd.size * alpha * math.log(beta) + gammas - float(((alpha + half) * np.log(beta + badd)).sum())
 
 
+class Chain:
+    """A reflected normal walk over (alpha, beta) of one group."""
+
+    def __init__(self, rng, badd: np.ndarray, reps: np.ndarray) -> None:
+        self.rng, self.badd, self.half, self.table = rng, badd, reps / 2.0, reps_table(reps)
+        self.at = rng.uniform(size=2) * START
+        self.density = self._density(self.at)
+
+    def _density(self, at: np.ndarray) -> float:
+        return log_posterior(*at.tolist(), self.badd, self.half, self.table) if (at > 0).all() else -math.inf
+
+    def walk(self, steps: int, width: float) -> float:
+        """Share of accepted steps; all proposals of the walk are drawn at once."""
+        moves = self.rng.normal(size=(steps, 2)) * np.array([ALPHA_STEP, BETA_STEP]) * width
+        dares = np.log(self.rng.uniform(size=steps))
+        accepted = 0
+        for move, dare in zip(moves, dares, strict=True):
+            there = np.abs(self.at + move)
+            density = self._density(there)
+            if dare < density - self.density:
+                self.at, self.density, accepted = there, density, accepted + 1
+        return accepted / steps
+
+
 def metropolis(rng, badd, reps, batch: int = 1000, max_batches: int = 1000):
-    """One (alpha, beta) draw with adaptive reflected normal steps, or None when it does not settle."""
-    alpha, beta = rng.uniform() * 10.0, rng.uniform() * 5.0
-    half, table = reps / 2.0, reps_table(reps)
-    current = log_posterior(alpha, beta, badd, half, table)
-    width, old_width, rate = 4.0, 0.0, 0.0
+    """One (alpha, beta) draw, or None when the walk does not settle.
+
+    Batches narrow or widen their steps until one of them accepts a quarter to a half of its
+    steps; the walk has settled once the step width was right for two batches in a row."""
+    chain, width, rate, settled = Chain(rng, badd, reps), FIRST_WIDTH, 0.0, False
     for _ in range(max_batches):
-        if 0.25 <= rate <= 0.5 and old_width == width:
-            return alpha, beta
-        if alpha > MAX_PARAM or beta > MAX_PARAM:
+        factor = 1 / WIDTH_STEP if rate < LOW_RATE else WIDTH_STEP if rate > HIGH_RATE else 1.0
+        if factor == 1.0 and settled:
+            return tuple(chain.at.tolist())
+        if (chain.at > MAX_PARAM).any():
             return None
-        old_width = width
-        if rate < 0.25:
-            width /= 1.02
-        elif rate > 0.5:
-            width *= 1.02
-        accepted = 0
-        for _ in range(batch):
-            a = abs(alpha + rng.normal() * ALPHA_STEP * width)
-            b = abs(beta + rng.normal() * BETA_STEP * width)
-            if a > 0 and b > 0:
-                proposed = log_posterior(a, b, badd, half, table)
-                if math.log(rng.uniform()) < proposed - current:
-                    alpha, beta, current = a, b, proposed
-                    accepted += 1
-        rate = accepted / batch
+        width, settled = width * factor, factor == 1.0
+        rate = chain.walk(batch, width)
     return None
 
 
 def hyper_sample(
     badd: DataFrame, groups: DataFrame, samples_n: int = 2, seed: int = 0, batch: int = 1000, max_batches: int = 1000
 ) -> DataFrame:
-    """expr, alpha, beta: one point per group and used draw.
+    """expr, alpha, beta: one point per group and used draw; expr is the mean over the group's transcripts.
 
-    Groups are independent seeded chains of at most 5000 transcripts. A draw that does not
-    settle is replaced by a further one, up to ten. Only the draws that can be used travel.
+    Groups are independent seeded chains of at most 5000 transcripts. Draws are taken at random from
+    the whole series, the same for all groups; one that does not settle is replaced by a further one,
+    up to ten. Only the draws that can be used travel.
     """
-    usable = badd.filter(F.col("n") < samples_n + RETRIES)
-    cells = usable.join(groups.select("tr", "grp", "mean"), "tr").select("grp", "mean", "n", "badd", "reps")
+    order = rnd.portable_uniform(seed, "n")
+    drawn = badd.select("n").distinct().withColumn("try", order).orderBy("try", "n").limit(samples_n + RETRIES)
+    expr = groups.groupBy("grp").agg(F.avg("mean").alias("expr"))
+    members = groups.select("tr", "grp").join(expr, "grp")
+    cells = badd.join(F.broadcast(drawn), "n").join(members, "tr").select("grp", "expr", "try", "n", "badd", "reps")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        grp = int(pdf["grp"].iloc[0])
-        expr = pdf.groupby("n")["mean"].mean()
-        points = []
-        for n in sorted(pdf["n"].unique()):
-            if len(points) == samples_n:
-                break
-            part = pdf[pdf["n"] == n].sort_values("badd")
-            rng = np.random.default_rng(np.random.SeedSequence([seed, grp, int(n)]))
-            found = metropolis(rng, np.maximum(part["badd"].to_numpy(), 0.0), part["reps"].to_numpy(float), batch, max_batches)
-            if found:
-                points.append((float(expr[n]), *found))
+        grp, points = int(pdf["grp"].iloc[0]), []
+        for (_, n), part in pdf.groupby(["try", "n"]):
+            if len(points) < samples_n:
+                part = part.sort_values(["badd", "reps"])
+                rng = np.random.default_rng(np.random.SeedSequence([seed, grp, int(n)]))
+                found = metropolis(rng, np.maximum(part["badd"].to_numpy(), 0.0), part["reps"].to_numpy(float), batch, max_batches)
+                points += [(float(pdf["expr"].iloc[0]), *found)] if found else []
         return pd.DataFrame(points, columns=["expr", "alpha", "beta"])
 
     return cells.groupBy("grp").applyInPandas(lambda p: run(p), "expr double, alpha double, beta double")

@@ -68,7 +68,7 @@ def extract_list(samples: DataFrame, ids: DataFrame) -> DataFrame:
 def extract_random(samples: DataFrame, k: int, seed: int) -> DataFrame:
     """Rows of k distinct transcripts drawn by a keyed hash, the same for every plan."""
     ids = samples.select("tr").distinct()
-    chosen = ids.orderBy(rnd.uniform(seed, "tr"), "tr").limit(k)
+    chosen = ids.orderBy(rnd.portable_uniform(seed, "tr"), "tr").limit(k)
     return extract_list(samples, chosen)
 
 
@@ -82,14 +82,25 @@ def with_log(samples: DataFrame, zero: str, logged: bool = False) -> DataFrame:
     return samples if logged else samples.withColumn("value", safe_log(F.col("value"), zero))
 
 
+def _numbered(samples: DataFrame) -> DataFrame:
+    """Draws of each (file, transcript) series numbered 0.. in order, whatever gaps ``n`` has."""
+    series = Window.partitionBy("file_idx", "tr")
+    at = F.row_number().over(series.orderBy("n")).cast("long") - 1
+    return samples.select("file_idx", "tr", at.alias("n"), "value", F.count(F.lit(1)).over(series).alias("_size"))
+
+
+def _resampled(numbered: DataFrame, k: Column, seed: int) -> DataFrame:
+    """``k`` draws with replacement from each series; a series of k stays as it is."""
+    sizes = numbered.filter("n = 0").select("file_idx", "tr", "_size", k.alias("_k"))
+    slots = sizes.withColumn("m", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_k") - 1)))
+    drawn = F.floor(rnd.portable_uniform(seed, "file_idx", "tr", "m") * F.col("_size"))
+    picks = slots.select("file_idx", "tr", "m", F.when(F.col("_size") == F.col("_k"), F.col("m")).otherwise(drawn).alias("n"))
+    return picks.join(numbered, ["file_idx", "tr", "n"]).select("file_idx", "tr", F.col("m").alias("n"), "value")
+
+
 def subsample(samples: DataFrame, k: int, seed: int) -> DataFrame:
     """k draws with replacement from every (file, transcript) series; a series of k stays as it is."""
-    sizes = samples.groupBy("file_idx", "tr").agg(F.count(F.lit(1)).alias("_size"))
-    short = sizes.filter(F.col("_size") != k).withColumn("m", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long"))))
-    picks = short.withColumn("n", F.floor(rnd.uniform(seed, "file_idx", "tr", "m") * F.col("_size")))
-    drawn = picks.join(samples, ["file_idx", "tr", "n"]).select("file_idx", "tr", F.col("m").alias("n"), "value")
-    whole = samples.join(sizes.filter(F.col("_size") == k), ["file_idx", "tr"], "left_semi")
-    return whole.select("file_idx", "tr", "n", "value").unionByName(drawn)
+    return _resampled(_numbered(samples), F.lit(k).cast("long"), seed)
 
 
 def condition_align(samples: DataFrame, seed: int | None = None) -> DataFrame:
@@ -99,14 +110,8 @@ def condition_align(samples: DataFrame, seed: int | None = None) -> DataFrame:
     """
     files = samples.select("file_idx").distinct().agg(F.count(F.lit(1)).alias("_files"))
     if seed is not None:
-        sizes = samples.groupBy("file_idx", "tr").agg(F.count(F.lit(1)).alias("_size"))
-        shortest = sizes.groupBy("tr").agg(F.min("_size").alias("_k"))
-        plan = sizes.join(shortest, "tr")
-        picks = plan.withColumn("m", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_k") - 1)))
-        same = F.col("_size") == F.col("_k")
-        draw = F.floor(rnd.uniform(seed, "file_idx", "tr", "m") * F.col("_size"))
-        picks = picks.withColumn("n", F.when(same, F.col("m")).otherwise(draw))
-        samples = picks.join(samples, ["file_idx", "tr", "n"]).select("file_idx", "tr", F.col("m").alias("n"), "value")
+        numbered = _numbered(samples)
+        samples = _resampled(numbered.withColumn("_least", F.min("_size").over(Window.partitionBy("tr"))), F.col("_least"), seed)
     grouped = samples.groupBy("tr", "n").agg(F.array_sort(F.collect_list(F.struct("file_idx", "value"))).alias("reps"))
     return grouped.join(F.broadcast(files), F.size("reps") == F.col("_files")).drop("_files")  # one row
 
@@ -123,10 +128,10 @@ def variance_sample(samples: DataFrame, logged: bool = False, log: bool = True,
 
 
 def variance_sqdif(samples: DataFrame, logged: bool = False, log: bool = True) -> DataFrame:
-    """tr, mean, var from squared differences: two halves of one file, or the first two files.
+    """tr, mean, var from squared differences: two halves of one file, or all draws of the first two files.
 
-    N is the series length of the first file; the last draw of an odd series has no partner,
-    and sums are divided by N as they always were.
+    Sums are divided by twice the number of pairs; the last draw of an odd single series has no
+    partner but counts, as it always did. Draws of two files pair up in order, up to the shorter one.
     """
     x = with_log(samples, "le0", logged or not log)
     order = Window.orderBy("file_idx")
@@ -141,12 +146,12 @@ def variance_sqdif(samples: DataFrame, logged: bool = False, log: bool = True) -
     side = F.when(single, (F.col("n") >= half).cast("int")).otherwise(F.col("_f"))
     pairs = (
         paired.withColumn("_slot", slot).withColumn("_side", side)
-        .filter(F.col("_slot") < half)
-        .groupBy("tr", "_slot", "_n")
+        .filter(~single | (F.col("_slot") < half))
+        .groupBy("tr", "_slot", "_n", "_files")
         .agg(F.sum(F.when(F.col("_side") == 0, F.col("value"))).alias("a"), F.sum(F.when(F.col("_side") == 1, F.col("value"))).alias("b"))
         .filter("a is not null and b is not null")
     )
-    total = F.first("_n")
+    total = F.when(F.first("_files") == 1, F.first("_n")).otherwise(2 * F.count(F.lit(1)))
     return pairs.groupBy("tr").agg(
         (F.sum(F.col("a") + F.col("b")) / total).alias("mean"), (F.sum((F.col("a") - F.col("b")) ** 2) / total).alias("var")
     )

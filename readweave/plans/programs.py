@@ -45,10 +45,15 @@ def compute_probs(
     kept = reads.join(fragments.ignored_reads(summary, limit, exclude_singletons), "read_id", "left_anti")
     mapped = F.col("first.flag").bitwiseAND(F.lit(4)) == 0
     whole = F.col("paired") | (F.col("first.flag").bitwiseAND(F.lit(1)) == 0)
-    good = kept.filter(mapped & whole) if exclude_singletons else kept.filter(mapped)
+    alike = F.lit(True) if mate_names_differ else ~fragments.mates_differ()
+    good = kept.filter(mapped & whole & alike) if exclude_singletons else kept.filter(mapped & alike)
     scored = cut_lineage(scoring.score_fragments(good, tr, seqs, fit, freq, noise_mismatches, model, unstranded, strict_strand))
-    hits = scoring.noise_alignment(scored)
-    failed = kept.join(scored.filter("lprob is not null"), "read_id", "left_anti").select(F.col("first.qname").alias("name")).distinct()
+    # a read left with nothing but pairs of unlike names keeps a lone noise hit
+    unlike = kept.filter(mapped & ~alike).select("read_id").distinct().join(scored.select("read_id").distinct(), "read_id", "left_anti")
+    lone = unlike.select("read_id", F.lit(0).alias("tr_id"), F.lit(0.0).alias("lprob"))
+    hits = scoring.noise_alignment(scored).unionByName(lone)
+    failed = kept.join(scored.filter("lprob is not null"), "read_id", "left_anti")
+    failed = failed.select(F.explode(F.array_compact(F.array("first.qname", "second.qname"))).alias("name")).distinct()
     lens = effective_lengths(tr, seqs, seen, fit, model)
     lengthened = tr.drop("eff_length").join(lens, "tid")
     return Alignments(hits, lengthened, fragments.read_counts(summary, limit, exclude_singletons), failed)

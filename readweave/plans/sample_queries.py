@@ -104,14 +104,28 @@ def _(d):
     return samples.extract_list(d.series, wanted.unionByName(wanted))
 
 
-@query("extract_random")
+def _u(seed: int, *keys: str) -> str:
+    """SQL of the portable uniform."""
+    text = "concat_ws('|', '%d', %s)" % (seed, ", ".join(keys))
+    return f"(('0x' || substr(md5({text}), 1, 13))::BIGINT / {float(1 << 52)!r}::DOUBLE)"
+
+
+_NUMBERED = "SELECT file_idx, tr, row_number() OVER (PARTITION BY file_idx, tr ORDER BY n) - 1 AS n, value, count(*) OVER (PARTITION BY file_idx, tr) AS size FROM samples"
+
+
+def _resampled(k: str, seed: int) -> str:
+    return f"""SELECT file_idx, tr, m AS n, value FROM (SELECT file_idx, tr, m, CASE WHEN size = k THEN m ELSE floor({_u(seed, 'file_idx', 'tr', 'm')} * size)::BIGINT END AS n
+    FROM (SELECT file_idx, tr, size, k, unnest(range(0, k)) AS m FROM (SELECT file_idx, tr, size, {k} AS k FROM ({_NUMBERED}) WHERE n = 0))) JOIN ({_NUMBERED}) USING (file_idx, tr, n)"""
+
+
+@query("extract_random", f"SELECT file_idx, tr, n, value FROM samples WHERE tr IN (SELECT tr FROM (SELECT DISTINCT tr FROM samples) ORDER BY {_u(7, 'tr')}, tr LIMIT 20)")
 def _(d):
     return samples.extract_random(d.series, 20, seed=7)
 
 
-@query("subsample")
+@query("subsample", _resampled("64", 5))
 def _(d):
-    return samples.subsample(merged_single(d), 64, seed=5)
+    return samples.subsample(d.series, 64, seed=5)
 
 
 def merged_single(d: Domain) -> DataFrame:
@@ -140,9 +154,14 @@ def _(d):
     return a.select("tr", "n", F.transform("reps", lambda r: r["file_idx"]).alias("files"), F.aggregate("reps", F.lit(0.0), lambda x, r: x + r["value"]).alias("total"))
 
 
-@query("condition_resample")
+@query(
+    "condition_resample",
+    f"""SELECT tr, n, round(sum(value), 2) AS total FROM ({_resampled('min(size) OVER (PARTITION BY tr)', 3)}) GROUP BY tr, n
+    HAVING count(*) = (SELECT count(DISTINCT file_idx) FROM samples)""",
+    2,
+)
 def _(d):
-    a = samples.condition_align(merged_single(d), seed=3)
+    a = samples.condition_align(d.series, seed=3)
     return a.select("tr", "n", F.aggregate("reps", F.lit(0.0), lambda x, r: x + r["value"]).alias("total"))
 
 

@@ -82,10 +82,15 @@ def parse_header(lines: list[str]) -> dict[str, int | None]:
     return flags
 
 
-def read_header(spark: SparkSession, path: str, limit: int = 200) -> dict[str, int | None]:
-    """Header of a file, or of the first part file of a folder."""
+def read_header(spark: SparkSession, path: str) -> dict[str, int | None]:
+    """Header of a file, or of the first part file of a folder: all lines before the first line of data."""
     first = sorted(spark.read.text(path).inputFiles())[0]
-    return parse_header([r.value for r in spark.read.text(first).take(limit)])
+    lines: list[str] = []
+    for row in spark.read.text(first).toLocalIterator():
+        if row.value.strip() and not row.value.startswith("#"):
+            break
+        lines.append(row.value)
+    return parse_header(lines)
 
 
 def number(token: Column) -> Column:

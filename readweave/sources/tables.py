@@ -174,7 +174,7 @@ def read_id_list(spark: SparkSession, path: str) -> DataFrame:
 def read_transcript_join(spark: SparkSession, path: str) -> DataFrame:
     """Positional id map of several files: tr, file_idx, tr_in_file."""
     words = data_lines(spark, path).select(tokens(F.col("value")).alias("w"))
-    return words.select(F.col("w")[0].cast("long").alias("tr"), F.posexplode(F.slice("w", 2, 1_000_000)).alias("file_idx", "t")).select(
+    return words.select(F.col("w")[0].cast("long").alias("tr"), F.posexplode(F.slice("w", F.lit(2), F.size("w"))).alias("file_idx", "t")).select(
         "tr", "file_idx", F.col("t").cast("long").alias("tr_in_file")
     )
 
@@ -182,7 +182,7 @@ def read_transcript_join(spark: SparkSession, path: str) -> DataFrame:
 def read_mcmc_params(spark: SparkSession, path: str) -> dict[str, str]:
     """``name value`` pairs of a sampler parameter file; '#' starts a comment."""
     out: dict[str, str] = {}
-    for row in spark.read.text(path).take(1000):
+    for row in spark.read.text(path).toLocalIterator():
         words = row.value.split("#", 1)[0].split()
         if len(words) >= 2:
             out[words[0]] = words[1]
