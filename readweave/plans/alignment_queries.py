@@ -160,7 +160,8 @@ def _(d):
 @query("gtf_attribute", "SELECT event_id, 'g'||user_id||'_'||event_type AS gene_id, event_type AS gene_name, '' AS havana_gene FROM events")
 def _(d):
     a = F.col("attribute")
-    x = d.exons.withColumn("event_id", F.substring(gtf_attribute(a, "transcript_id"), 2, 40).cast("long"))
+    whole = gtf_attribute(a, "transcript_id")
+    x = d.exons.withColumn("event_id", F.substring(whole, F.lit(2), F.length(whole)).cast("long"))
     return x.select("event_id", *[gtf_attribute(a, n).alias(n) for n in ("gene_id", "gene_name", "havana_gene")])
 
 

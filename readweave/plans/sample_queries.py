@@ -492,6 +492,34 @@ def _(d):
     return hyper.hyper_sample(hyper.hyper_badd(d.samples, _means(d)), grouped, samples_n=1, seed=3, batch=100, max_batches=150)
 
 
-@query("hyper_smooth")
+def _bell(share: str, power: int) -> str:
+    return f"CASE WHEN {share} <= 0.001 THEN 1 WHEN {share} <= 0.999 THEN pow(1-pow({share},{power}),{power}) ELSE 0 END"
+
+
+def _lowess_sql(y: str, steps: int = 5) -> str:
+    """CTEs of robust local regression of ``y`` on the curve; the last one, ``y_fit``, has pos and fit."""
+    ctes = [f"{y}_t0 AS (SELECT i, 1::DOUBLE AS t FROM c)"]
+    for p in range(steps + 1):
+        ctes += [
+            f"{y}_s{p} AS (SELECT pos, sum(w*t) AS sw, sum(w*t*x)/sum(w*t) AS mx, sum(w*t*{y})/sum(w*t) AS my FROM k JOIN {y}_t{p} USING (i) JOIN c USING (i, x) GROUP BY pos)",
+            f"{y}_v{p} AS (SELECT pos, any_value(mx) AS mx, any_value(my) AS my, sum(w*t*(x-mx)*(x-mx))/any_value(sw) AS var, sum(w*t*(x-mx)*{y})/any_value(sw) AS cov FROM k JOIN {y}_t{p} USING (i) JOIN c USING (i, x) JOIN {y}_s{p} USING (pos) GROUP BY pos)",
+            f"{y}_f{p} AS (SELECT pos, my + CASE WHEN sqrt(var) > 0.001*(SELECT span FROM size) THEN cov/var*(pos-mx) ELSE 0 END AS fit FROM {y}_v{p})",
+        ]
+        if p < steps:
+            ctes += [
+                f"{y}_r{p} AS (SELECT i, abs({y}-fit) AS r, 6*median(abs({y}-fit)) OVER () AS top FROM c JOIN {y}_f{p} ON pos = x)",
+                f"{y}_t{p + 1} AS (SELECT i, {_bell('(r/top)', 2)}::DOUBLE AS t FROM {y}_r{p})",
+            ]
+    return ", ".join([*ctes, f"{y}_fit AS (SELECT pos, fit AS {y}_fit FROM {y}_f{steps})"])
+
+
+@query(
+    "hyper_smooth",
+    f"""WITH c AS (SELECT row_number() OVER (ORDER BY expr, alpha, beta) AS i, expr AS x, alpha, beta FROM curve),
+    size AS (SELECT greatest(2, floor(0.2*count(*)))::INT AS near, max(x)-min(x) AS span FROM c),
+    g AS (SELECT pos, i, x, abs(x-pos) AS gap, list_sort(list(abs(x-pos)) OVER (PARTITION BY pos))[(SELECT near FROM size)] AS h FROM (SELECT DISTINCT x AS pos FROM c), c),
+    k AS (SELECT pos, i, x, {_bell('(gap/h)', 3)} AS w FROM g), {_lowess_sql('alpha')}, {_lowess_sql('beta')}
+    SELECT round(pos, 6) AS expr, round(alpha_fit, 6) AS alpha, round(beta_fit, 6) AS beta FROM alpha_fit JOIN beta_fit USING (pos)""",
+)
 def _(d):
     return smoothing.smooth_params(d.curve)
