@@ -497,7 +497,8 @@ def _(d):
 )
 def _(d):
     table = scoring.length_table(d.spark, *FIT, _longest(d))
-    return scoring.effective_length_uniform(d.doc_trs, table, scoring.length_lognorm(d.doc_trs, table, *FIT), 60)
+    density = scoring.length_density(table, *FIT, _longest(d))
+    return scoring.effective_length_uniform(d.doc_trs, density, scoring.length_lognorm(d.doc_trs, table, *FIT), 60)
 
 
 @query("effective_length_single_end", "SELECT tid, CAST(CASE WHEN length > 2000 THEN length-1000 WHEN length > 1000 THEN 1000 ELSE length END AS DOUBLE) AS eff_length FROM doc_trs")

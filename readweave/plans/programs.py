@@ -70,7 +70,7 @@ def effective_lengths(tr: DataFrame, seqs: DataFrame, seen: DataFrame, fit, mode
         norms = scoring.length_lognorm(tr, table, *fit)
         if model is None:
             shortest = seen.agg(F.min("frag_len").alias("l")).first()["l"] or 0
-            raw = scoring.effective_length_uniform(tr, table, norms, shortest)
+            raw = scoring.effective_length_uniform(tr, scoring.length_density(table, *fit, longest), norms, shortest)
         else:
             raw = bias.effective_length_bias(tr, seqs, model, norms, *fit)
     j = tr.select("tid", "length").join(raw, "tid")

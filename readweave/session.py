@@ -9,9 +9,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(app: str = "readweave", cores: str = "8", shuffle_partitions: int = 8) -> SparkSession:
-    """Session for tests and benchmarks; clusters bring their own session."""
-    return (
+def local_session(app: str = "readweave", cores: str = "8", shuffle_partitions: int = 8, scratch: str | None = None) -> SparkSession:
+    """Session for tests and benchmarks; clusters bring their own session. ``scratch``: their ``spark.checkpoint.dir``."""
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.driver.memory", "16g")
@@ -22,8 +22,8 @@ def local_session(app: str = "readweave", cores: str = "8", shuffle_partitions:
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .getOrCreate()
     )
+    return (builder.config("spark.checkpoint.dir", scratch) if scratch else builder).getOrCreate()
 
 
 def shared_dir(spark: SparkSession) -> str:

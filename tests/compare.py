@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import os
 import sys
+import tempfile
 import time
 import traceback
 
@@ -59,7 +60,7 @@ def main() -> int:
 
     sf = sys.argv[1] if len(sys.argv) > 1 else "0.01"
     sf_dir = f"/root/testdata/sf{sf}"
-    spark = local_session()
+    spark = local_session(scratch=tempfile.mkdtemp(prefix="compare-"))
     spark.sparkContext.setLogLevel("ERROR")
     con = duck(sf_dir)
     queries, oracle = entry.queries(), entry.oracle_sql()

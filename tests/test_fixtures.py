@@ -340,3 +340,58 @@ def test_other_conjugate_rules_rise_too(spark, method):
     base = vb.vb_optimise(vb.prepare_hits(h), 12, "steepest", max_iter=8)
     assert all(b >= a - 1e-9 for a, b in zip(fit.bounds, fit.bounds[1:]))
     assert fit.bounds[-1] >= base.bounds[1]
+
+
+def test_effective_length_of_long_transcripts(spark):
+    mu, sigma, lengths = np.log(150_000.0), 0.02, [90, 149_000, 150_000, 150_700, 160_000]
+    tr = spark.createDataFrame(list(enumerate(lengths)), "tid long, length long")
+    table = scoring.length_table(spark, mu, sigma, max(lengths))
+    norms = scoring.length_lognorm(tr, table, mu, sigma)
+    got = {r.tid: r.eff_length for r in scoring.effective_length_uniform(tr, scoring.length_density(table, mu, sigma, max(lengths)), norms, 60).collect()}
+    lnorm = {r.tid: r.lnorm for r in norms.collect()}
+    for tid, n in enumerate(lengths):
+        at = np.arange(1, n + 1.0)
+        p = np.exp(-((np.log(at) - mu) ** 2) / (2 * sigma**2)) / (at * sigma * np.sqrt(2 * np.pi))
+        want = float((p * (n - at)).sum() * np.exp(-lnorm[tid]))
+        assert got[tid] == pytest.approx(want if want > 60 else n, rel=1e-6)
+
+
+def test_pairs_of_unlike_mates_are_no_hits(spark):
+    mate = lambda name: (name, 0, 1, "ACGT")
+    rows = [(0, mate("a/1"), mate("a/2"), True), (1, mate("b/1"), mate("z/2"), True), (2, mate("c"), None, False)]
+    df = spark.createDataFrame(rows, "k int, first struct<qname:string,flag:int,pos:int,seq:string>, second struct<qname:string,flag:int,pos:int,seq:string>, paired boolean")
+    assert [r.k for r in df.filter(fragments.mates_differ()).collect()] == [1]
+
+
+def test_resampling_survives_gaps(spark):
+    s = spark.createDataFrame([(0, 1, n, float(n)) for n in (2, 5, 9, 40)], "file_idx int, tr long, n long, value double")
+    got = samples.subsample(s, 7, 1).collect()
+    assert len(got) == 7 and {r.value for r in got} <= {2.0, 5.0, 9.0, 40.0}
+    two = s.unionByName(s.selectExpr("1 AS file_idx", "tr", "n", "value + 1 AS value"))
+    r = samples.variance_sqdif(samples._numbered(two).drop("_size"), log=False).first()
+    assert r["var"] == pytest.approx(0.5) and r["mean"] == pytest.approx(14.5)
+
+
+def test_one_length_is_no_fit(spark):
+    seen = spark.range(50).selectExpr("true AS paired", "200 AS frag_len")
+    assert not scoring.frag_length_fit(seen).first()["valid"]
+
+
+def test_header_of_any_length(spark, tmp_path):
+    from readweave.sources.lines import read_header
+
+    (tmp_path / "h").write_text("".join(f"# from file {i}\n" for i in range(500)) + "# T\n# M 7\n1 2\n# N 9\n")
+    head = read_header(spark, str(tmp_path / "h"))
+    assert head["M"] == 7 and "T" in head and "N" not in head
+
+
+def test_stages_are_deleted(spark):
+    import os
+
+    from readweave.session import cut_lineage, discard
+
+    df = cut_lineage(spark.range(3))
+    folder = df.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    assert os.path.isdir(folder)
+    discard(df)
+    assert not os.path.isdir(folder)
