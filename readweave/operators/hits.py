@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from readweave.functions.numeric import group_log_sum_exp
@@ -14,18 +14,20 @@ def dedupe_alignments(hits: DataFrame) -> DataFrame:
 
 
 def row_softmax(hits: DataFrame, value: str = "lprob", phi: str = "phi", log_phi: str | None = None) -> DataFrame:
-    """Softmax within each read. Row totals are aggregated and joined back, no per-read window."""
-    lse = group_log_sum_exp(hits, ["read_id"], value, "_lse")
-    joined = hits.join(lse, "read_id")
-    out = joined.withColumn(phi, F.exp(F.col(value) - F.col("_lse")))
+    """Softmax within each read, by one pass over the hits laid out by read."""
+    read = Window.partitionBy("read_id")
+    topped = hits.withColumn("_top", F.max(value).over(read))
+    lse = F.col("_top") + F.log(F.sum(F.exp(F.col(value) - F.col("_top"))).over(read))
+    out = topped.withColumn("_lse", lse).withColumn(phi, F.exp(F.col(value) - F.col("_lse")))
     if log_phi:
         out = out.withColumn(log_phi, F.col(value) - F.col("_lse"))
-    return out.drop("_lse")
+    return out.drop("_lse", "_top")
 
 
 def normalise_alignments(hits: DataFrame) -> DataFrame:
-    """Merged alignments as probabilities that sum to 1 per read."""
-    return row_softmax(dedupe_alignments(hits), "lprob", "prob").select("read_id", "tr_id", "prob")
+    """Merged alignments as probabilities that sum to 1 per read. One exchange serves merging, totals and division."""
+    laid = hits.select("read_id", "tr_id", "lprob").repartition("read_id")
+    return row_softmax(dedupe_alignments(laid), "lprob", "prob").select("read_id", "tr_id", "prob")
 
 
 def alignment_totals(hits: DataFrame) -> DataFrame:
