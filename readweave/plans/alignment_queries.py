@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from readweave.functions import dna, numeric
 from readweave.functions.text import gtf_attribute
 from readweave.operators import annotation, bias, fragments, genes, hits, legacy, scoring
-from readweave.plans.domain import Domain, with_views
+from readweave.plans.domain import PLACES, Domain, with_views
 from readweave.plans.sample_queries import rounded
 from readweave.session import cut_lineage, scratch_path
 from readweave.sources import alignments as aln
@@ -457,7 +457,7 @@ _SCORED = f"""SELECT tid, p, mate, sum(CASE WHEN same THEN hit ELSE mis END) AS
 @query("seq_logprob", f"SELECT tid, p, CASE mate WHEN 1 THEN 'first' ELSE 'second' END AS mate, round(lp_seq,6) AS lp_seq, round(low_seq,6) AS low_seq FROM ({_SCORED})")
 def _(d):
     mates = scoring.base_probabilities(scoring.with_reference(scoring.mates_of(d.frags), d.seqs))
-    return mates.select(F.col("tid").cast("long").alias("tid"), (F.col("frag_seq") % 1_000_000).alias("p"), "mate", "lp_seq", "low_seq")
+    return mates.select(F.col("tid").cast("long").alias("tid"), (F.col("frag_seq") % PLACES).alias("p"), "mate", "lp_seq", "low_seq")
 
 
 @query(
@@ -473,7 +473,7 @@ _UNIFORM = f"""SELECT f.read_id, f.tid, f.p, CASE WHEN paired THEN coalesce(t.lp
     JOIN (SELECT tid, p, sum(lp_seq) AS lp_seq, sum(low_seq) AS low_seq FROM ({_SCORED}) GROUP BY 1,2) s ON s.tid=f.tid AND s.p=f.p LEFT JOIN ({_TABLE}) t ON t.len=f.flen JOIN ({_TABLE}) n ON n.len=f.tr_len"""
 
 
-@query("alignment_logprob_uniform", f"SELECT read_id, CAST(tid+1 AS INT) AS tr_id, tid*1000000+p AS frag_seq, round(place+lp_seq,6) AS lprob, round(place+low_seq,6) AS low_lprob FROM ({_UNIFORM})")
+@query("alignment_logprob_uniform", f"SELECT read_id, CAST(tid+1 AS INT) AS tr_id, tid::BIGINT*{PLACES}+p AS frag_seq, round(place+lp_seq,6) AS lprob, round(place+low_seq,6) AS low_lprob FROM ({_UNIFORM})")
 def _(d):
     return scoring.score_fragments(d.frags, d.doc_trs, d.seqs, FIT)
 

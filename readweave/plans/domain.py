@@ -21,6 +21,9 @@ QUALITIES = "IIIIIHHHHHIIII?IIIIFIIII5I" * 2
 TILE = 40
 READ_LENGTH = 25
 
+#: Places of a text in a fragment number; no text is as long.
+PLACES = 1 << 32
+
 
 class Domain:
     """Views over one folder of Parquet tables."""
@@ -169,7 +172,7 @@ class Domain:
             )
 
         return t.select(
-            (F.col("tid") * 1_000_000 + F.col("p")).alias("frag_seq"), name.alias("read_id"), mate(f1, "p", "s1", "q1").alias("first"),
+            (F.col("tid").cast("long") * PLACES + F.col("p")).alias("frag_seq"), name.alias("read_id"), mate(f1, "p", "s1", "q1").alias("first"),
             F.when(~single, mate(f2, "p2", "s2", "q2")).alias("second"), (~single).alias("paired"),
         )
 
