@@ -41,11 +41,11 @@ from readweave.llm.labelled import fitted_on_sample
 FOLDS, HELD = 5, 0
 SAMPLE, SAMPLE_BYTES = {0: 3000, 1: 1000}, 32_000_000
 DECAY, REACH, LONG = 0.75, 6, 24
-LANDMARKS, ROUNDS, MINED, POWER = 192, 3, 2000, 4
+LANDMARKS, ROUNDS, MINED, SQUARED = 192, 3, 2000, 2
 LEAST, CLEAR, MOST = -1.5, 0.5, 3.0
 SURE = 0.7
-LETTERS, BINS = 64, 1024
-CACHED = 300_000
+LETTERS, BINS = 64, 509
+CACHED = 400_000
 EDGE = re.compile(r"^\W+|[\W_]+$")
 APART = re.compile(r"(?<!\S)\w(?:\s\w){2,}(?!\S)")
 SENTENCE = re.compile(r"[.!?]+\s|\n+")
@@ -94,13 +94,13 @@ def _by_triple(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.nd
             part = which[i : i + step]
             c = _coded([words[j] for j in part], int(n))
             code = (c[:, at[:, 0]] * LETTERS + c[:, at[:, 1]]) * LETTERS + c[:, at[:, 2]]
-            bins = np.arange(len(part))[:, None] * BINS + code * 31 % 1021
+            bins = np.arange(len(part))[:, None] * BINS + code * 31 % BINS
             total = np.bincount(bins.ravel(), np.tile(weight, len(part)), len(part) * BINS).reshape(-1, BINS)
             yield part, code, weight, np.sqrt(np.maximum(np.einsum("ij,ij->i", total, total), 1e-9)).astype(np.float32)
 
 
 class Likeness:
-    """Likeness of words to landmarks, to the power ``POWER``: a kernel again, and one that fades faster with distance.
+    """Likeness of words to landmarks, squared ``SQUARED`` times: a kernel again, and one that fades faster with distance.
 
     Held by triple: which landmarks have it and with what weight."""
 
@@ -126,7 +126,9 @@ class Likeness:
             word = np.repeat(known // code.shape[1], many).astype(np.int64)
             value = np.repeat(weight[known % code.shape[1]], many) * self.weight[at]
             out[part] = np.bincount(word * self.n + self.mark[at], value, len(part) * self.n).reshape(len(part), self.n) / norm[:, None]
-        return out**POWER
+        for _ in range(SQUARED):
+            out *= out
+        return out
 
 
 @dataclass
@@ -148,11 +150,10 @@ class Model:
         found = [set(words_of(t)) for t in texts]
         new = list(set().union(*found) - known.keys())
         parts = [[p for p in pieces(bare(w)) if p] for w in new]
-        flat = self.margins([p for ps in parts for p in ps])
-        at = 0
+        each = list({p for ps in parts for p in ps})
+        margin = dict(zip(each, self.margins(each).tolist(), strict=True))
         for w, ps in zip(new, parts, strict=True):
-            known[w] = float(flat[at : at + len(ps)].max()) if ps else LEAST
-            at += len(ps)
+            known[w] = max((margin[p] for p in ps), default=LEAST)
         rows = np.zeros((len(texts), 7), np.float32)
         for row, ws in zip(rows, found, strict=True):
             m = np.sort(np.array([LEAST, LEAST, LEAST, *(known[w] for w in ws)], np.float32))[:-4:-1]

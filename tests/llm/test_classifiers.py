@@ -36,11 +36,11 @@ def plain_kernel(a, b):
             if k - i < toxicity.REACH:
                 code, w = (c[i] * 64 + c[j]) * 64 + c[k], toxicity.DECAY ** (k - i + 1)
                 out[code] = out.get(code, 0) + w
-                bins[code * 31 % 1021] = bins.get(code * 31 % 1021, 0) + w
+                bins[code * 31 % toxicity.BINS] = bins.get(code * 31 % toxicity.BINS, 0) + w
         return out, sum(v * v for v in bins.values()) ** 0.5
 
     (x, nx), (y, ny) = triples(a), triples(b)
-    return (sum(v * y.get(k, 0) for k, v in x.items()) / nx / ny) ** toxicity.POWER
+    return (sum(v * y.get(k, 0) for k, v in x.items()) / nx / ny) ** 2**toxicity.SQUARED
 
 
 def test_kernel():
