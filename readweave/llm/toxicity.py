@@ -3,7 +3,7 @@
 Kernel: two words (with a mark at either end) are alike by the triples of characters that they share in this order, not
 necessarily side by side; a triple counts ``DECAY`` to the power of its length in each word, up to ``REACH`` characters. An
 inserted character or a gap so lowers the likeness without ending it. Single characters set apart by blanks are read as one
-word, look-alike digits as letters.
+word, words with signs in them also without, look-alike digits as letters.
 
 Training: sentences of labelled documents carry the label of their document. A sentence stands for its most telling word,
 first by document frequencies, then by the machine of the round before, as only some sentences of a toxic document are
@@ -47,6 +47,7 @@ SURE = 0.7
 LETTERS, BINS = 64, 509
 CACHED = 400_000
 EDGE = re.compile(r"^\W+|[\W_]+$")
+SIGNS = re.compile(r"[\W_]")
 APART = re.compile(r"(?<!\S)\w(?:\s\w){2,}(?!\S)")
 SENTENCE = re.compile(r"[.!?]+\s|\n+")
 #: Look-alikes of letters.
@@ -63,6 +64,13 @@ def bare(word: str) -> str:
     return EDGE.sub("", word).translate(ALIKE)
 
 
+def readings(word: str) -> list[str]:
+    """A word as it stands and, if signs are put between its characters, without them; in pieces if long."""
+    plain = bare(word)
+    joined = SIGNS.sub("", plain)
+    return [p for w in dict.fromkeys((plain, joined)) for p in pieces(w) if p]
+
+
 def pieces(word: str) -> list[str]:
     return [word[i : i + LONG] for i in range(0, max(1, len(word) - LONG // 2), LONG // 2)]
 
@@ -149,7 +157,7 @@ class Model:
         """A row for each text. known: margins of words seen before, added to."""
         found = [set(words_of(t)) for t in texts]
         new = list(set().union(*found) - known.keys())
-        parts = [[p for p in pieces(bare(w)) if p] for w in new]
+        parts = [readings(w) for w in new]
         each = list({p for ps in parts for p in ps})
         margin = dict(zip(each, self.margins(each).tolist(), strict=True))
         for w, ps in zip(new, parts, strict=True):

@@ -61,8 +61,8 @@ def test_gaps_are_tolerated():
         texts.append(" ".join(t) + ".")
         labels.append(int(i % 4 == 0))
     model = toxicity.train(texts, labels, 0.25)
-    got = model.scores(["the river imbecile of", "the imbe*cile of", "the imbecxile of", "a m o r o n of the", "the river", ""], {})
-    assert (got[:4] > 0.5).all() and (got[4:] < 0.5).all()
+    got = model.scores(["the river imbecile of", "the imbe*cile of", "the imbecxile of", "a m o r o n of the", "of m.o_r.o.n, the", "the river", ""], {})
+    assert (got[:5] > 0.5).all() and (got[5:] < 0.5).all()
 
 
 def test_network_gradient():
