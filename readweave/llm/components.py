@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readweave.session import cut_lineage
+from readweave.session import cut_lineage, discard
 
 
 def _lowest(edges: DataFrame) -> DataFrame:
@@ -35,7 +35,9 @@ def roots(links: DataFrame) -> DataFrame:
     edges = cut_lineage(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     mark = _mark(edges)
     while mark[0]:
-        edges, before = cut_lineage(_round(edges)), mark
+        old, before = edges, mark
+        edges = cut_lineage(_round(old))
+        discard(old)
         mark = _mark(edges)
         if mark == before:
             break

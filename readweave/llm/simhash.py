@@ -31,7 +31,7 @@ from pyspark.sql.types import LongType
 
 from readweave.llm.common import LOWER, fresh, raw, row_key, table
 from readweave.llm.components import roots
-from readweave.session import cut_lineage
+from readweave.session import cut_lineage, discard
 
 BITS = 4
 SHINGLE = 4
@@ -190,6 +190,7 @@ def near_duplicates(rows: DataFrame) -> DataFrame:
     linked = cut_lineage(classes.join(root.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
     whole = linked.groupBy("root").agg(F.min("first").alias("first"))
     of = cut_lineage(linked.select("fp", "root").join(whole, "root").select("fp", "first"))
+    discard(classes, linked)
     return rows.join(of, "fp").select("row", "doc_id", "fp", F.col("first.doc_id").alias("component_id"), (F.col("row") == F.col("first.row")).alias("stays"))
 
 
