@@ -171,6 +171,9 @@ def theta_to_tau(theta: DataFrame, tr: DataFrame) -> DataFrame:
     return x.join(sums, ["file_idx", "n"]).select("file_idx", "tr", "n", tau.alias("value"))
 
 
+UNITS = ("theta", "counts", "rpkm", "tau")
+
+
 def output_units(theta: DataFrame, kind: str, tr: DataFrame, nmap: float, lengths: str = "eff_length") -> DataFrame:
     """theta draws as theta, counts, rpkm or tau."""
     if kind == "counts":

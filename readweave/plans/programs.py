@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -78,7 +79,10 @@ def effective_lengths(tr: DataFrame, seqs: DataFrame, seen: DataFrame, fit, mode
 
 
 def mcmc(hits: DataFrame, tr: DataFrame, m: int, n_unmapped: int, *, output_type: str = "rpkm", gibbs: bool = False, settings=None, seed: int = 0, **stop):
-    """Abundance samples by Markov chains in the wanted unit, and the run's diagnostics."""
+    """Abundance samples by Markov chains in the wanted unit (rpkm if it is unknown), and the run's diagnostics."""
+    if output_type not in smp.UNITS:
+        warnings.warn(f"unknown output unit {output_type}, using rpkm", stacklevel=2)
+        output_type = "rpkm"
     prepared = vb.prepare_hits(hits)
     run = sampling.estimate_expression(prepared, m, n_unmapped, not gibbs, settings or sampling.ChainSettings(), seed, **stop)
     theta = run.draws.select(F.col("chain").alias("file_idx"), "tr", "n", F.col("theta").alias("value"))

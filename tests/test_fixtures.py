@@ -394,3 +394,19 @@ def test_stages_are_deleted(spark):
     assert os.path.isdir(folder)
     discard(df)
     assert not os.path.isdir(folder)
+
+
+@pytest.mark.parametrize("stop", [{"do_max": True}, {"scale_reduction": True}])
+def test_stop_rules_of_chains(spark, stop):
+    data = [(r, 1 + r % 3, 0.0) for r in range(30)]
+    h = vb.prepare_hits(spark.createDataFrame(data, "read_id long, tr_id long, lprob double"))
+    asked = []
+
+    def reread():
+        asked.append(1)
+        return {"targetScaleReduction": "9"}
+
+    settings = sampling.ChainSettings(chains=2, burn_in=0, samples_n=2, samples_save=4, samples_nmax=3)
+    run = sampling.estimate_expression(h, 4, 5, False, settings, seed=3, reread=reread, **stop)
+    assert len(asked) == 2 and run.samples_n in (2, 3)
+    assert run.draws.select("n").distinct().count() == 2 and run.draws.select("chain").distinct().count() == 2
