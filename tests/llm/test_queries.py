@@ -13,5 +13,5 @@ def test_sql(spark, name):
 
 
 def test_names():
-    assert [sum(n.startswith(f"op{k}_") for n in queries.QUERIES) for k in range(1, 11)] == [1] * 10
+    assert [sum(n.startswith(f"op{k}_") for n in queries.QUERIES) for k in range(1, 14)] == [1] * 13
     assert "pipeline" in queries.QUERIES
