@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from readweave.llm import alignment, decontaminate, extraction, fingerprints, lm, mixing, quality, sharding, simhash, substrings, toxicity, urls
+from readweave.llm import alignment, conversations, decontaminate, extraction, fingerprints, lm, mixing, quality, sharding, simhash, substrings, toxicity, urls
 
 QUERIES = {
     "op4_lm": lm.op4_lm,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_sharding": sharding.op8_sharding,
     "op9_fingerprints": fingerprints.op9_fingerprints,
     "op10_decontaminate": decontaminate.op10_decontaminate,
+    "op11_conversations": conversations.op11_conversations,
     "op12_substrings": substrings.op12_substrings,
     "op13_alignment": alignment.op13_alignment,
     "pipeline": corpus_pipeline.run,
