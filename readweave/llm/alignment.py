@@ -40,7 +40,7 @@ A_FILE = "/opt/tokenizers/byte_bpe_50k.json"
 B_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 BATCH_CHARS = 8_000_000
 SEGMENT = 1_000_000
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 PROBE = 8
 #: Fixed value: how the byte-level vocabulary cuts text before it merges.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -111,7 +111,7 @@ def _others(n: int, without: list[int]) -> np.ndarray:
 
 
 class Aligner:
-    """Both vocabularies, and the stretches met so far (at most ``REMEMBERED``)."""
+    """Both vocabularies, and stretches met so far: from ``REMEMBERED`` of them, or 20 times as many characters, on those of the last two rounds."""
 
     def __init__(self, a_file: str, b_file: str) -> None:
         import sentencepiece
@@ -135,31 +135,41 @@ class Aligner:
         for i, t in self.a_bytes.items():
             self.a_size[i] = len(t)
         self._known: dict[str, tuple[bytes, bytes, bool]] = {}
+        self._before: dict[str, tuple[bytes, bytes, bool]] = {}
+        self._held = 0
 
     def _piece(self, i: int) -> bytes:
         piece = self._b.id_to_piece(i)
         return bytes([int(piece[3:5], 16)]) if self._b.is_byte(i) else piece.replace(_SPACE, " ").encode()
 
-    def _stretch(self, stretch: str) -> tuple[bytes, bytes, bool]:
-        """Tokens of a space and ``stretch``, and whether both give its bytes back."""
-        whole = " " + stretch
-        a, b = self._a.encode_ordinary(whole), self._b.encode(stretch)
-        raw = whole.encode()
-        ok = b"".join(map(self.a_bytes.__getitem__, a)) == raw and b"".join(map(self.b_bytes.__getitem__, b)) == raw
-        found = (array("i", a).tobytes(), array("i", b).tobytes(), ok)
-        if len(self._known) >= REMEMBERED:
-            self._known.clear()
-        if len(stretch) <= 64:
-            self._known[stretch] = found
-        return found
+    def _learn(self, stretches: list[str]) -> None:
+        """Remember the tokens of a space and each stretch, and whether both give its bytes back."""
+        if len(self._known) >= REMEMBERED or self._held >= 20 * REMEMBERED:
+            self._known, self._before, self._held = {}, self._known, 0
+        self._held += sum(map(len, stretches))
+        fresh = []
+        for s in stretches:
+            found = self._before.get(s)
+            if found:
+                self._known[s] = found
+            else:
+                fresh.append(s)
+        for s, b in zip(fresh, self._b.encode(fresh, num_threads=1), strict=True):
+            whole = " " + s
+            a, raw = self._a.encode_ordinary(whole), whole.encode()
+            ok = b"".join(map(self.a_bytes.__getitem__, a)) == raw and b"".join(map(self.b_bytes.__getitem__, b)) == raw
+            self._known[s] = (array("i", a).tobytes(), array("i", b).tobytes(), ok)
 
     def _encoded(self, text: str) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
         at = 0
         while at < len(text):
             cut = _BETWEEN.search(text, at + SEGMENT) if len(text) - at > SEGMENT else None
             stretches = _BETWEEN.split(text[at : cut.start()] if cut else text[at:])
-            known = self._known.get
-            got = [known(s) or self._stretch(s) for s in stretches]
+            got = [*map(self._known.get, stretches)]
+            if None in got:
+                self._learn([s for s in dict.fromkeys(stretches) if s not in self._known])
+                known = self._known
+                got = [g or known[s] for g, s in zip(got, stretches, strict=True)]
             yield np.frombuffer(b"".join([g[0] for g in got]), np.int32), np.frombuffer(b"".join([g[1] for g in got]), np.int32), all([g[2] for g in got])
             at = cut.end() if cut else len(text)
 
