@@ -61,16 +61,13 @@ class SuffixAutomaton:
         self.size = [0]
         self.first: list[int] = [-1]
 
-    def _state(self, size: int, first: int, following: dict[bytes, int], link: int) -> int:
-        self.size.append(size)
-        self.first.append(first)
-        self.following.append(following)
-        self.link.append(link)
-        return len(self.size) - 1
-
     def _split(self, p: int, q: int, word: bytes) -> int:
         """A state for those strings of ``q`` that end a string of ``p``."""
-        half = self._state(self.size[p] + 1, self.first[q], dict(self.following[q]), self.link[q])
+        half = len(self.size)
+        self.size.append(self.size[p] + 1)
+        self.first.append(self.first[q])
+        self.following.append(dict(self.following[q]))
+        self.link.append(self.link[q])
         self.link[q] = half
         while p >= 0 and self.following[p].get(word) == q:
             self.following[p][word] = half
@@ -78,20 +75,25 @@ class SuffixAutomaton:
         return half
 
     def add(self, words: Sequence[bytes], number: int) -> None:
+        following, link, size, first = self.following, self.link, self.size, self.first
         p = 0
         for word in words:
-            q = self.following[p].get(word)
+            q = following[p].get(word)
             if q is None:
-                new = self._state(self.size[p] + 1, number, {}, 0)
-                while p >= 0 and word not in self.following[p]:
-                    self.following[p][word] = new
-                    p = self.link[p]
+                new, longer = len(size), size[p] + 1
+                while p >= 0 and word not in following[p]:
+                    following[p][word] = new
+                    p = link[p]
+                size.append(longer)
+                first.append(number)
+                following.append({})
+                link.append(0)
                 if p >= 0:
-                    q = self.following[p][word]
-                    self.link[new] = q if self.size[q] == self.size[p] + 1 else self._split(p, q, word)
+                    q = following[p][word]
+                    link[new] = q if size[q] == size[p] + 1 else self._split(p, q, word)
                 p = new
             else:
-                p = q if self.size[q] == self.size[p] + 1 else self._split(p, q, word)
+                p = q if size[q] == size[p] + 1 else self._split(p, q, word)
 
     def first_of(self, words: Sequence[bytes], window: int) -> list[int | None]:
         """For each window of ``words`` the number it was first added with, None if it never was."""
@@ -138,57 +140,55 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 
 class _Rows:
-    """A group of rows: its words, and the passages of its windows (first and last window, anchor, row)."""
+    """A group of rows and where their words are."""
 
-    def __init__(self, ids: pa.ChunkedArray, texts: pa.ChunkedArray, window: int, gram: int) -> None:
+    def __init__(self, ids: pa.ChunkedArray, texts: pa.ChunkedArray, window: int) -> None:
         self.window = window
         self.known_id = ~ids.is_null().to_numpy()
         self.ids = ids.cast(pa.int64()).fill_null(0).to_numpy()
         self.texts = [t or b"" for t in texts.cast(pa.binary()).to_pylist()]
         self.all = b"\n".join(self.texts)
-        data = np.frombuffer(self.all, np.uint8)
-        edge = np.diff(np.concatenate([[True], _WHITE[data], [True]]).astype(np.int8))
+        self.data = np.frombuffer(self.all, np.uint8)
+        edge = np.diff(np.concatenate([[True], _WHITE[self.data], [True]]).astype(np.int8))
         self.starts, self.ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-        row_ends = np.cumsum([len(t) + 1 for t in self.texts])
-        self.row = np.searchsorted(row_ends, self.starts, "right")
+        self.row = np.searchsorted(np.cumsum([len(t) + 1 for t in self.texts]), self.starts, "right")
         self.n_words = np.bincount(self.row, minlength=len(self.texts))
-        n = self.starts.size - window + 1
-        self.a = self.b = np.zeros(0, np.int64)
-        self.anchor = self.least = np.zeros(0, np.uint64)
-        self.of = np.zeros(0, np.int64)
+
+    def passages(self, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First window, last window and anchor of each passage, in order of rows."""
+        n = self.starts.size - self.window + 1
         if n <= 0:
-            return
-        h = _word_hashes(data, self.starts, self.ends)
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        h = _word_hashes(self.data, self.starts, self.ends)
         g = np.zeros(h.size - gram + 1, np.uint64)
         for k in range(gram):
             g = g * _ODD + h[k : k + g.size]
         g = np.minimum(_mixed(g), _NEVER - np.uint64(1))
         g[self.row[: g.size] != self.row[gram - 1 :]] = _NEVER
         least = g[:n].copy()
-        for k in range(1, window - gram + 1):
+        for k in range(1, self.window - gram + 1):
             np.minimum(least, g[k : k + n], out=least)
         where = np.zeros(n, np.int64)
-        for k in range(window - gram, -1, -1):
+        for k in range(self.window - gram, -1, -1):
             where = np.where(g[k : k + n] == least, np.arange(k, k + n), where)
-        whole = (self.row[:n] == self.row[window - 1 :]) & self.known_id[self.row[:n]]
+        whole = (self.row[:n] == self.row[self.window - 1 :]) & self.known_id[self.row[:n]]
         where[~whole] = -1
         cut = np.concatenate([[True], where[1:] != where[:-1], [True]])
         first, last = np.flatnonzero(cut[:-1]), np.flatnonzero(cut[1:])
         kept = whole[first]
-        self.a, self.b = first[kept], last[kept]
-        self.anchor, self.of, self.least = least[self.a], self.row[self.a], least
+        return first[kept], last[kept], least[first[kept]]
 
     def words(self, first: int, last: int) -> bytes:
         """The words from window ``first`` to the end of window ``last``, joined by single spaces."""
         return b" ".join(self.all[self.starts[first] : self.ends[last + self.window - 1]].split())
 
-    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct anchors in order, and which of them lie in several rows of the group."""
-        order = np.argsort(self.anchor, kind="stable")
-        found, at = np.unique(self.anchor[order], return_index=True)
-        rows = self.of[order]
-        until = np.append(at[1:], rows.size) - 1
-        return found, rows[at] != rows[until] if found.size else np.zeros(0, bool)
+
+def _distinct(anchor: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct anchors in order, and which of them lie in several rows. ``rows`` are in order."""
+    order = np.argsort(anchor, kind="stable")
+    found, at = np.unique(anchor[order], return_index=True)
+    rows = rows[order]
+    return found, rows[at] != rows[np.append(at, rows.size)[1:] - 1]
 
 
 def repeats(docs: DataFrame, out: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -207,10 +207,10 @@ def repeats(docs: DataFrame, out: str, id_col: str = "doc_id", text_col: str = "
         return t.take(pc.sort_indices(t, sort_keys=[(id_col, "ascending"), (text_col, "ascending")]))
 
     def rows(t: pa.Table) -> _Rows:
-        return _Rows(t[id_col], t[text_col].cast(pa.string()), window, gram)
+        return _Rows(t[id_col], t[text_col].cast(pa.string()), window)
 
     def gather(t: pa.Table) -> pa.Table:
-        found, _ = rows(t).anchors()
+        found = np.unique(rows(t).passages(gram)[2])
         bucket = (found >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(found.size, np.int64)
         at = np.flatnonzero(np.diff(bucket, prepend=-1))
         parts = [found[i:j].tobytes() for i, j in zip(at, np.append(at, found.size)[1:], strict=True)]
@@ -225,59 +225,63 @@ def repeats(docs: DataFrame, out: str, id_col: str = "doc_id", text_col: str = "
 
     def pieces(t: pa.Table, told: pa.Table) -> pa.Table:
         group = rows(ordered(t))
-        found, several = group.anchors()
+        first, last, anchor = group.passages(gram)
+        found, several = _distinct(anchor, group.row[first])
         order = np.argsort(told["bucket"].to_numpy())
         flags = np.frombuffer(b"".join(told["flags"][int(i)].as_py() for i in order), np.uint8)
-        mine = np.searchsorted(found, group.anchor)
-        kept = np.flatnonzero(((flags & 1 > 0) | several)[mine]) if found.size else mine
-        best: dict[bytes, list[int]] = {}
-        for k in kept.tolist():
-            a, b, number = int(group.a[k]), int(group.b[k]), int(group.ids[group.of[k]])
-            common = bool(flags[mine[k]] & 2)
-            for i, j in [(w, w) for w in range(a, b + 1)] if common else [(a, b)]:
+        mine = np.searchsorted(found, anchor)
+        kept = np.flatnonzero(((flags & 1 > 0) | several)[mine])
+        common = flags[mine[kept]] & 2 > 0
+        held: dict[bytes, tuple[int, int, list[int]]] = {}
+        columns = (x[kept].tolist() for x in (first, last, anchor))
+        for a, b, hashed, number, by_window in zip(*columns, group.ids[group.row[first[kept]]].tolist(), common.tolist(), strict=True):
+            for i, j in [(w, w) for w in range(a, b + 1)] if by_window else [(a, b)]:
                 text = group.words(i, j)
-                held = best.get(text)
-                if held is None:
-                    key = xxhash.xxh64_intdigest(text) if common else int(group.anchor[k])
-                    best[text] = [number, i, key % shards]
-                elif number < held[0]:
-                    held[0] = number
-        held = list(best.values())
-        columns = [[h[2] for h in held], [h[0] for h in held], [t[grp][0].as_py()] * len(held), [h[1] for h in held]]
-        return pa.table([*(pa.array(c, pa.int64()) for c in columns), pa.array(list(best), pa.binary())], ["shard", "number", "member", "at", "words"])
+                known = held.get(text)
+                if known is None:
+                    held[text] = ((xxhash.xxh64_intdigest(text) if by_window else hashed) % shards, number, [i])
+                else:
+                    known[2].append(i)
+                    if number < known[1]:
+                        held[text] = (known[0], number, known[2])
+        columns = [[h[0] for h in held.values()], [h[1] for h in held.values()], [t[grp][0].as_py()] * len(held)]
+        at = pa.array([h[2] for h in held.values()], pa.list_(pa.int64()))
+        return pa.table([*(pa.array(c, pa.int64()) for c in columns), at, pa.array(list(held), pa.binary())], ["shard", "number", "member", "at", "words"])
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, automaton = None, SuffixAutomaton()
         same: dict[bytes, bytes] = {}
+        told: dict[bytes, list[int]] = {}  # what was found once stays, as ids only rise
         for batch in batches:
             answers = []
             for here, number, text in zip(*(batch[c].to_pylist() for c in ("shard", "number", "words")), strict=True):
                 if here != shard:
-                    shard, automaton, same = here, SuffixAutomaton(), {}
-                words = [same.setdefault(w, w) for w in text.split(b" ")]
-                first = automaton.first_of(words, window)
-                if None in first:
-                    automaton.add(words, number)
-                    first = [number if f is None else f for f in first]
+                    shard, automaton, same, told = here, SuffixAutomaton(), {}, {}
+                first = told.get(text)
+                if first is None:
+                    words = [same.setdefault(w, w) for w in text.split(b" ")]
+                    first = automaton.first_of(words, window)
+                    if None in first:
+                        automaton.add(words, number)
+                        first = [number if f is None else f for f in first]
+                    told[text] = first
                 answers.append(first)
             yield pa.RecordBatch.from_arrays([batch["member"], batch["at"], pa.array(answers, pa.list_(pa.int64()))], ["member", "at", "first"])
 
     def cut(t: pa.Table, told: pa.Table) -> pa.Table:
         t = ordered(t)
         group = rows(t)
-        first = {group.words(at, at + len(f) - 1): f for at, f in zip(told["at"].to_pylist(), told["first"].to_pylist(), strict=True)}
-        hits: list[int] = []
-        if first:
-            answered = np.unique(group.least[told["at"].to_numpy()])
-            for k in np.flatnonzero(np.isin(group.anchor, answered)).tolist():
-                a, b, number = int(group.a[k]), int(group.b[k]), int(group.ids[group.of[k]])
-                known = first.get(group.words(a, b))
-                if known is None:
-                    known = [first[group.words(w, w)][0] for w in range(a, b + 1)]
-                hits += [a + i for i, f in enumerate(known) if f < number]
+        at, first = (told[c].combine_chunks() for c in ("at", "first"))
+        n_at, n_first = (x.value_lengths().to_numpy() for x in (at, first))
+        windows = np.repeat(n_first, n_at)  # for each place of a passage its windows, and where their numbers begin
+        begin = np.repeat(np.cumsum(n_first) - n_first, n_at)
+        step = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
+        place = np.repeat(at.flatten().to_numpy(), windows) + step
+        seen = first.flatten().to_numpy()[np.repeat(begin, windows) + step]
+        hits = place[seen < group.ids[group.row[place]]]
         covered = np.zeros(group.starts.size + 1, np.int32)
         np.add.at(covered, hits, 1)
-        np.add.at(covered, np.array(hits, np.int64) + window, -1)
+        np.add.at(covered, hits + window, -1)
         gone = covered[:-1].cumsum() > 0
         before = np.concatenate([[0], np.cumsum(group.n_words)])
         found = []
@@ -293,9 +297,9 @@ def repeats(docs: DataFrame, out: str, id_col: str = "doc_id", text_col: str = "
 
     asked = slim.groupBy(grp).applyInArrow(gather, "member bigint, bucket bigint, anchors binary")
     flagged = asked.groupBy("bucket").applyInArrow(count, "member bigint, bucket bigint, flags binary")
-    passages = slim.groupBy(grp).cogroup(flagged.groupBy("member")).applyInArrow(pieces, "shard bigint, number bigint, member bigint, at bigint, words binary")
+    passages = slim.groupBy(grp).cogroup(flagged.groupBy("member")).applyInArrow(pieces, "shard bigint, number bigint, member bigint, at array<bigint>, words binary")
     streamed = passages.repartition("shard").sortWithinPartitions("shard", "number")
-    answers = streamed.mapInArrow(match, "member bigint, at bigint, first array<bigint>")
+    answers = streamed.mapInArrow(match, "member bigint, at array<bigint>, first array<bigint>")
     schema = StructType([*docs.schema.fields, StructField(out, StructType.fromDDL(_FOUND))])
     return laid.groupBy(grp).cogroup(answers.groupBy("member")).applyInArrow(cut, schema)
 
