@@ -96,7 +96,7 @@ def de_samples(posterior: DataFrame, seed: int, lambda0: float = 2.0) -> DataFra
     precision = rnd.gamma(seed, F.col("post_alpha"), "tr", "cond", "n") / F.col("post_beta")
     drawn = posterior.withColumn("_prec", precision)
     drawn = drawn.withColumn("var", 1.0 / (F.col("_prec") * (lambda0 + F.col("reps"))))
-    value = F.col("post_mean") + F.sqrt("var") * rnd.normal(seed + 1, "tr", "cond", "n")
+    value = F.col("post_mean") + F.sqrt("var") * rnd.portable_normal(seed + 1, "tr", "cond", "n")
     return drawn.select("tr", "cond", "n", value.alias("value"), "var")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from readweave.functions.order import credible_interval
+from readweave.functions.random import TRIES
 from readweave.operators import contrasts, convergence, genes, samples
 from readweave.operators import expression as de
 from readweave.operators import hyper, smoothing
@@ -110,6 +111,23 @@ def _u(seed: int, *keys: str) -> str:
     return f"(('0x' || substr(md5({text}), 1, 13))::BIGINT / {float(1 << 52)!r}::DOUBLE)"
 
 
+def gamma_sql(rel: str, keys: str, seed: int, shape: str) -> str:
+    """SQL of the gamma draws: the columns of ``rel`` and ``g``. ``keys`` tell its rows apart."""
+
+    def u(*more: str) -> str:
+        return _u(seed, keys, *more)
+
+    lifted = f"CASE WHEN {shape} < 1 THEN {shape} + 1 ELSE {shape} END - 1::DOUBLE / 3"
+    tries = f"""SELECT {keys}, t, d, z, 1 + z / sqrt(9 * d) AS w, {u('t', "'s'")} AS c FROM (
+        SELECT *, sqrt(-2 * ln(1 - {u('t', "'r'")})) * cos(2 * pi() * {u('t', "'a'")}) AS z FROM (SELECT {keys}, {lifted} AS d, unnest(range({TRIES})) AS t FROM ({rel})))"""
+    kept = f"SELECT {keys}, arg_min(d * (w * w * w), t) AS v FROM ({tries}) WHERE w > 0 AND ln(1 - c) < 0.5::DOUBLE * z * z + d * (1 - w * w * w + 3 * ln(greatest(w, 1e-300::DOUBLE))) GROUP BY ALL"
+    return f"""SELECT *, coalesce(v, {lifted}) * CASE WHEN {shape} < 1 THEN pow({u("'p'")}, 1 / {shape}) ELSE 1 END AS g FROM ({rel}) LEFT JOIN ({kept}) USING ({keys})"""
+
+
+def normal_sql(seed: int, *keys: str) -> str:
+    return f"""sqrt(-2 * ln(1 - {_u(seed, *keys, "'r'")})) * cos(2 * pi() * {_u(seed, *keys, "'a'")})"""
+
+
 _NUMBERED = "SELECT file_idx, tr, row_number() OVER (PARTITION BY file_idx, tr ORDER BY n) - 1 AS n, value, count(*) OVER (PARTITION BY file_idx, tr) AS size FROM samples"
 
 
@@ -406,16 +424,20 @@ def _(d):
     return de.de_prior(d.samples, d.curve)
 
 
-@query(
-    "de_posterior",
-    f"""SELECT tr, cond, n, round((2*mu00+s)/(2+r),6) AS post_mean, round(alpha+r/2::DOUBLE,6) AS post_alpha, round(beta+0.5::DOUBLE*(2*mu00*mu00+ss-(2*mu00+s)*(2*mu00+s)/(2+r)),6) AS post_beta, r AS reps FROM (
-    SELECT tr, cond, n, count(*) AS r, sum(ln(value)) AS s, sum(ln(value)*ln(value)) AS ss FROM samples GROUP BY 1,2,3) JOIN ({_PRIOR}) USING (tr, cond)""",
-)
+_POSTERIOR = f"""SELECT tr, cond, n, (2*mu00+s)/(2+r) AS post_mean, alpha+r/2::DOUBLE AS post_alpha, beta+0.5::DOUBLE*(2*mu00*mu00+ss-(2*mu00+s)*(2*mu00+s)/(2+r)) AS post_beta, r AS reps FROM (
+    SELECT tr, cond, n, count(*) AS r, sum(ln(value)) AS s, sum(ln(value)*ln(value)) AS ss FROM samples GROUP BY 1,2,3) JOIN ({_PRIOR}) USING (tr, cond)"""
+
+
+@query("de_posterior", f"SELECT tr, cond, n, round(post_mean,6) AS post_mean, round(post_alpha,6) AS post_alpha, round(post_beta,6) AS post_beta, reps FROM ({_POSTERIOR})")
 def _(d):
     return de.de_posterior(d.samples, de.de_prior(d.samples, d.curve))
 
 
-@query("de_samples")
+_DRAWN = f"""SELECT tr, cond, n, post_mean + sqrt(var) * {normal_sql(12, 'tr', 'cond', 'n')} AS value, var FROM (
+    SELECT *, 1 / (g / post_beta * (2 + reps)) AS var FROM ({gamma_sql(_POSTERIOR, 'tr, cond, n', 11, 'post_alpha')}))"""
+
+
+@query("de_samples", f"SELECT tr, cond, n, round(value,6) AS value, round(var,6) AS var FROM ({_DRAWN})")
 def _(d):
     return de.de_samples(de.de_posterior(d.samples, de.de_prior(d.samples, d.curve)), seed=11)
 
@@ -434,16 +456,22 @@ def _(d):
     return de.de_pplr(_draws(d))
 
 
-@query(
-    "de_fold_change",
-    f"""SELECT tr, cond_a, cond_b, round(log2fc,6) AS log2fc, round(ci_low,6) AS ci_low, round(ci_high,6) AS ci_high FROM (SELECT tr, cond_a, cond_b, avg(d/{LN2}) AS log2fc FROM ({_PAIRS}) GROUP BY 1,2,3)
-    JOIN ({ci_sql(f'SELECT tr, cond_a, cond_b, d/{LN2} AS d FROM ({_PAIRS})', 'tr, cond_a, cond_b', 'd')}) USING (tr, cond_a, cond_b)""",
-)
+def _fold_change(pairs: str) -> str:
+    return f"""SELECT tr, cond_a, cond_b, round(log2fc,6) AS log2fc, round(ci_low,6) AS ci_low, round(ci_high,6) AS ci_high FROM (SELECT tr, cond_a, cond_b, avg(d/{LN2}) AS log2fc FROM ({pairs}) GROUP BY 1,2,3)
+    JOIN ({ci_sql(f'SELECT tr, cond_a, cond_b, d/{LN2} AS d FROM ({pairs})', 'tr, cond_a, cond_b', 'd')}) USING (tr, cond_a, cond_b)"""
+
+
+@query("de_fold_change", _fold_change(_PAIRS))
 def _(d):
     return de.de_fold_change(_draws(d))
 
 
-@query("estimate_de")
+@query(
+    "estimate_de",
+    f"""WITH drawn AS MATERIALIZED ({_DRAWN}), apart AS (
+        SELECT a.tr, a.n, a.cond AS cond_a, b.cond AS cond_b, b.value-a.value AS d FROM drawn a JOIN drawn b ON a.tr=b.tr AND a.n=b.n AND a.cond<b.cond)
+    SELECT * FROM (SELECT tr, cond_a, cond_b, round(avg(CASE WHEN d>0 THEN 1::DOUBLE ELSE 0 END),6) AS pplr FROM apart GROUP BY 1,2,3) JOIN ({_fold_change('SELECT * FROM apart')}) USING (tr, cond_a, cond_b)""",
+)
 def _(d):
     """Prior, posterior, draws and report in one go."""
     drawn = cut_lineage(de.de_samples(de.de_posterior(d.samples, de.de_prior(d.samples, d.curve)), seed=11))
