@@ -1,6 +1,7 @@
 """Hand-computed fixtures, golden vectors, skew paths and sampler properties."""
 
 import gzip
+import itertools
 import math
 import struct
 
@@ -253,12 +254,45 @@ def test_variational_methods_agree_and_rise(spark):
     assert conjugate.bounds[-1] == pytest.approx(steepest.bounds[-1], abs=0.5)
 
 
-def test_one_exchange_prepares_hits(spark):
+def test_classes_hold_all_hits(spark):
     h = toy_hits(spark, n=60)
-    twice = vb.prepare_hits(h.unionByName(h))
-    assert twice.n_reads == h.select("read_id").distinct().count()
-    a, b = rows(twice.frame, "read_id", "tr_id", "lprob"), rows(hits.dedupe_alignments(h.unionByName(h)), "read_id", "tr_id", "lprob")
-    assert np.allclose(np.array(sorted(a)), np.array(sorted(b)))
+    shifted = h.withColumn("read_id", F.col("read_id") + 1000).withColumn("lprob", F.col("lprob") - 1.5)
+    got = vb.prepare_hits(h.unionByName(h).unionByName(shifted.filter("tr_id > 0")), block_hits=40)
+    assert got.n_reads == h.select("read_id").distinct().count() + shifted.filter("tr_id > 0").select("read_id").distinct().count()
+    back = got.frame.join(got.members, "cls").select("read_id", "tr_id", (F.col("rel") + F.col("top")).alias("lprob"))
+    want = hits.dedupe_alignments(h.unionByName(h).unionByName(shifted.filter("tr_id > 0")))
+    assert np.allclose(np.array(sorted(rows(back, "read_id", "tr_id", "lprob"))), np.array(sorted(rows(want, "read_id", "tr_id", "lprob"))))
+    assert got.top == pytest.approx(want.groupBy("read_id").agg(F.max("lprob").alias("t")).agg(F.sum("t")).first()[0])
+    assert sorted(rows(got.slots, "block", "tr_id")) == sorted(rows(got.frame.select("block", "tr_id").distinct(), "block", "tr_id"))
+
+
+def test_alike_reads_are_one_class(spark):
+    data = [(r, t, -t * 0.5 - r) for r in range(30) for t in (0, 3, 5)]
+    got = vb.prepare_hits(spark.createDataFrame(data, "read_id long, tr_id long, lprob double"))
+    assert [(r.n, r.tr_id) for r in got.frame.orderBy("tr_id").collect()] == [(30, 0), (30, 3), (30, 5)]
+
+
+def test_hits_stay_in_place(spark):
+    """No step exchanges the hits, even where nothing may be broadcast."""
+    h = vb.prepare_hits(toy_hits(spark), block_hits=100)
+    h.frame.count(), h.slots.count()
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        step = vb.scored(h, vb.start_state(h, 12), ["u"])
+        root = step._jdf.queryExecution().executedPlan().initialPlan()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+    def above(node, names):
+        """Names of the operators above the scan of the hits."""
+        if "InMemoryTableScan" in node.nodeName() and "rel#" in node.output().toString():
+            return names
+        children = node.children()
+        return next((x for i in range(children.size()) if (x := above(children.apply(i), [*names, node.nodeName()]))), None)
+
+    names = above(root, [])
+    assert "SortMergeJoin" in names and "Window" in names and not any("Exchange" in n for n in names)
 
 
 @pytest.mark.parametrize("collapsed", [False, True])
@@ -277,11 +311,42 @@ def test_chains_find_a_known_posterior(spark, collapsed):
         assert got[t - 1] == pytest.approx(want, abs=5 * math.sqrt(want / total / 20) + 1e-3)
 
 
+@pytest.mark.parametrize(("collapsed", "started"), [(False, False), (True, False), (True, True)])
+def test_chains_find_an_enumerated_posterior(spark, collapsed, started):
+    """Reads with several hits, some alike, so that assignment has a choice; all assignments are weighed."""
+    reads = [{1: 0.0, 2: -0.4, 0: -2.0}] * 3 + [{2: -0.3, 3: 0.0, 0: -1.5}, {1: -1.0, 3: 0.0, 0: -3.0}, {2: 0.0, 0: -0.5}]
+    h = vb.prepare_hits(spark.createDataFrame([(i, t, p - i) for i, r in enumerate(reads) for t, p in r.items()], "read_id long, tr_id long, lprob double"))
+    m, unmapped = 4, 2
+    settings = sampling.ChainSettings(chains=600, burn_in=4, samples_n=1, samples_save=600, samples_nmax=1, beta_alpha=2.0, beta_beta=2.0)
+    size = m if collapsed else m - 1
+    weights, means = 0.0, np.zeros(m - 1)
+    for z in itertools.product(*[r.items() for r in reads]):
+        c = np.bincount([t for t, _ in z], minlength=m)
+        n = len(reads) - c[0]
+        lw = sum(p for _, p in z) + math.lgamma(2 + n) + math.lgamma(2 + unmapped + c[0]) - math.lgamma(size + n) + sum(math.lgamma(1 + k) for k in c[1:])
+        weights += math.exp(lw)
+        means += math.exp(lw) * (1 + c[1:]) / (m - 1 + n)
+    fit = vb.vb_optimise(h, m, "steepest", max_iter=5).state if started else None
+    run = sampling.estimate_expression(h, m, unmapped, collapsed, settings, seed=9, fit=fit)
+    got = {r.tr: (r.m, r.v / r.n) for r in run.draws.groupBy("tr").agg(F.avg("theta").alias("m"), F.variance("theta").alias("v"), F.count("theta").alias("n")).collect()}
+    for k, want in enumerate(means / weights):
+        assert abs(got[k][0] - want) < 4.5 * math.sqrt(got[k][1])
+
+
+def test_multinomial_counts():
+    keys = np.arange(4000, dtype=np.int64) * 7919 - 10**15
+    p = np.tile([0.2, 0.5, 0.3], 4000)
+    got = sampling.multinomial_counts(keys, np.full(4000, 5), np.arange(3, 12001, 3), p).reshape(-1, 3)
+    assert (got.sum(axis=1) == 5).all() and np.allclose(got.mean(axis=0), [1.0, 2.5, 1.5], atol=0.07)
+    back = sampling.multinomial_counts(keys[::-1].copy(), np.full(4000, 5), np.arange(3, 12001, 3), p).reshape(-1, 3)
+    assert (back[::-1] == got).all()
+
+
 @pytest.mark.parametrize("uniform", [rnd.uniform, rnd.portable_uniform])
 def test_gamma_moments(spark, uniform):
     for shape in (0.3, 1.0, 8.0):
         x = spark.range(60_000).select(rnd.gamma(5, F.lit(shape), F.col("id") * 7919, uniform=uniform).alias("g"))
-        got = x.agg(F.avg("g").alias("m"), F.variance("g").alias("v"), F.count_if("g <= 0").alias("low"), F.approx_count_distinct("g").alias("n")).first()
+        got = x.agg(F.avg("g").alias("m"), F.variance("g").alias("v"), F.count_if(F.col("g") <= 0).alias("low"), F.approx_count_distinct("g").alias("n")).first()
         assert got.m == pytest.approx(shape, rel=0.03) and got.v == pytest.approx(shape, rel=0.06) and got.low == 0 and got.n > 55_000
 
 
