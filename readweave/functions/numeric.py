@@ -112,3 +112,23 @@ def group_log_sum_exp(df: DataFrame, keys: list[str], value: str, out: str) -> D
         .withColumn("_top", top)
         .select(*keys, (F.col("_top") * _BIN + F.log(total)).alias(out))
     )
+
+
+#: Terms of the two expansions below; both are then exact to 1e-13 of erfc.
+ERFC_TERMS = 60
+ERFC_SWITCH = 2.0
+#: Below this erfc is no double any more and its log is LOG_ZERO.
+ERFC_LEAST = -745.13
+
+
+def log_erfc(x: Column) -> Column:
+    """log(erfc(x)): the power series of erf up to 2, the continued fraction of erfc beyond."""
+    a = F.abs(x)
+    square = a * a
+    series = F.aggregate(F.sequence(F.lit(ERFC_TERMS), F.lit(1)), F.lit(1.0), lambda s, k: 1.0 + 2.0 * square / (2.0 * k + 1.0) * s)
+    erf = 2.0 / math.sqrt(math.pi) * a * F.exp(-square) * series
+    fraction = F.aggregate(F.sequence(F.lit(ERFC_TERMS), F.lit(1)), F.lit(1.0), lambda s, k: 1.0 + k / (2.0 * F.greatest(square, F.lit(1e-18))) / s)
+    beyond = -square - F.log(F.greatest(a, F.lit(1e-9)) * math.sqrt(math.pi) * fraction)
+    right = F.when(a < ERFC_SWITCH, F.log(1.0 - erf)).when(beyond < ERFC_LEAST, F.lit(LOG_ZERO)).otherwise(beyond)
+    left = F.when(a < ERFC_SWITCH, F.log(1.0 + erf)).otherwise(F.log(2.0 - F.exp(beyond)))
+    return F.when(x < 0, left).otherwise(right)

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from readweave.functions import dna
 from readweave.functions.dna import flag_set
-from readweave.functions.ranking import running_max
 from readweave.functions.text import canonical_read_name
 
 MATE = ("qname", "flag", "tid", "pos", "cigar", "seq", "qual")
@@ -19,25 +18,37 @@ def _takes_mate(flag: Column) -> Column:
     return flag_set(flag, dna.PROPER_PAIR) | both_unmapped
 
 
+#: Records of a block that is paired in one task.
+PAIR_BLOCK = 50_000
+
+
 def pair_fragments(records: DataFrame) -> DataFrame:
     """frag_seq, first, second (NULL when alone), paired.
 
     A pair record takes the next record as its mate. In a run of consecutive pair records roles
     therefore alternate, and the record after a run of odd length is a mate too: the distance to
-    the latest single record decides, which is a running maximum over ``file_seq``.
+    the latest single record before it decides. Records are laid out once by blocks of ``file_seq``.
+    A block needs two things of the others, carried over a table of blocks: the latest single record
+    before it, and the first record behind it.
     """
-    single_seq = F.when(~_takes_mate(F.col("flag")), F.col("file_seq"))
-    x = records.withColumn("_single", F.coalesce(single_seq, F.lit(-1).cast("long"))).withColumn("_before", F.col("file_seq") + 1)
-    marks = running_max(x, "file_seq", "_single", "_last")
-    # latest single record strictly before this one
-    prev = marks.select((F.col("file_seq") + 1).alias("file_seq"), F.col("_last").alias("_prev_last"))
-    y = marks.join(prev, "file_seq", "left").withColumn("_prev_last", F.coalesce("_prev_last", F.lit(-1).cast("long")))
-    # an odd number of pair records between that one and this one makes this one a mate
-    mate = (F.col("file_seq") - F.col("_prev_last") - 1) % 2 == 1
-    z = y.withColumn("_mate", mate).withColumn("frag_seq", F.when(mate, F.col("file_seq") - 1).otherwise(F.col("file_seq")))
-    rec = F.struct(*MATE)
-    g = z.groupBy("frag_seq").agg(F.max(F.when(~F.col("_mate"), rec)).alias("first"), F.max(F.when(F.col("_mate"), rec)).alias("second"))
-    return g.withColumn("paired", F.col("second").isNotNull())
+    rec, takes = F.struct(*MATE), _takes_mate(F.col("flag"))
+    laid = records.withColumn("_blk", F.floor(F.col("file_seq") / PAIR_BLOCK)).repartition("_blk")
+    laid = laid.select("_blk", "file_seq", rec.alias("_rec"), takes.alias("_takes"), F.when(~takes, F.col("file_seq")).alias("_single"))
+    edges = laid.groupBy("_blk").agg(F.max("_single").alias("_top"), F.min_by("_rec", "file_seq").alias("_head"), F.min("file_seq").alias("_begin"))
+    by_block = Window.orderBy("_blk")  # a row per block
+    carried = edges.select(
+        "_blk", F.max("_top").over(by_block.rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"),
+        F.lead(F.struct(F.col("_begin").alias("seq"), F.col("_head").alias("rec"))).over(by_block).alias("_behind"),
+    )
+    inside = Window.partitionBy("_blk").orderBy("file_seq")
+    seen = laid.withColumn("_last", F.last("_single", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, -1)))
+    seen = seen.withColumn("_next", F.lead(F.struct(F.col("file_seq").alias("seq"), F.col("_rec").alias("rec"))).over(inside)).join(carried, "_blk")
+    # an odd number of pair records between the latest single record and this one makes this one a mate
+    before = F.coalesce("_last", "_carry", F.lit(-1).cast("long"))
+    following = F.coalesce("_next", "_behind")
+    second = F.when(F.col("_takes") & (following["seq"] == F.col("file_seq") + 1), following["rec"])
+    first = seen.filter((F.col("file_seq") - before - 1) % 2 == 0)
+    return first.select(F.col("file_seq").alias("frag_seq"), F.col("_rec").alias("first"), second.alias("second")).withColumn("paired", F.col("second").isNotNull())
 
 
 def group_reads(fragments: DataFrame) -> DataFrame:

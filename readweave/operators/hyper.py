@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -12,9 +11,9 @@ from pyspark.sql import functions as F
 
 from readweave.functions import random as rnd
 from readweave.functions.numeric import safe_log
-from readweave.functions.ranking import global_rank
+from readweave.functions.ranking import global_rank, running_max
 from readweave.operators.smoothing import smooth_params
-from readweave.session import cut_lineage, scratch_path
+from readweave.session import cut_lineage, discard
 
 # Fixed values
 GROUP_MIN, GROUP_MAX = 10, 5000
@@ -26,43 +25,44 @@ MAX_PARAM = 5000.0
 RETRIES = 10
 
 
-def hyper_groups(means: DataFrame, groups: int = 200, ex_t: float = -5.0, block_rows: int = 500_000) -> DataFrame:
+def hyper_groups(means: DataFrame, groups: int = 200, ex_t: float = -5.0) -> DataFrame:
     """tr, mean, grp: transcripts in falling expression, cut into groups of similar expression.
 
-    A group closes once it has 10 members and spans one expression step, or at 5000; a rest
-    below 10 is dropped. The rule needs the previous group's end, so ranked blocks are scanned
-    one after the other; a task holds one block and three numbers pass between them.
+    A group closes once it has 10 members and spans one expression step below the end of the group before, or
+    at 5000; a rest below 10 is dropped. So the next group's first rank is a function of this one's. It is found for
+    every rank, as if a group began there, and the ranks where groups do begin are reached from the first one by
+    pointer doubling: each round composes the function with itself and doubles the number of known beginnings.
     """
-    spark = means.sparkSession
-    ranked = cut_lineage(global_rank(means.filter(F.col("mean").isNotNull()), "mean", "tr", "rank", descending=True))
-    dims = ranked.agg(F.max("mean").alias("hi"), F.min("mean").alias("lo")).first()
-    kept = ranked.filter(F.col("mean") >= ex_t)
-    total = kept.count()
-    if total == 0:
+    ranked = cut_lineage(global_rank(means.filter(F.col("mean").isNotNull()).select("tr", "mean"), "mean", "tr", "rank", descending=True))
+    dims = ranked.agg(F.max("mean").alias("hi"), F.min("mean").alias("lo"), F.count_if(F.col("mean") >= ex_t).alias("n")).first()
+    total = dims["n"]
+    if not total:
         raise ValueError("no transcript above the expression threshold")
-    delta = (dims["hi"] - dims["lo"]) / groups
-    target = scratch_path(spark, "groups")
-    state = (0, 0, float(dims["hi"]))  # group, members, end of the previous group
-    for start in range(0, total, block_rows):
-        block = kept.filter((F.col("rank") >= start) & (F.col("rank") < start + block_rows))
-
-        def scan(batches: Iterator[pd.DataFrame], state=state) -> Iterator[pd.DataFrame]:
-            grp, members, last_end = state
-            for pdf in batches:
-                ids = np.empty(len(pdf), dtype=np.int64)
-                for i, value in enumerate(pdf["mean"].to_numpy()):
-                    ids[i] = grp
-                    members += 1
-                    if (members >= GROUP_MIN and delta < last_end - value) or members == GROUP_MAX:
-                        grp, members, last_end = grp + 1, 0, value
-                yield pdf.assign(grp=ids, _members=members, _end=last_end, _next=grp)
-
-        schema = "tr long, mean double, rank long, grp long, _members long, _end double, _next long"
-        ordered = block.select(F.col("tr").cast("long").alias("tr"), "mean", F.col("rank").cast("long").alias("rank")).coalesce(1).sortWithinPartitions("rank")
-        ordered.mapInPandas(scan, schema).write.mode("append").parquet(target)
-        last = spark.read.parquet(target).agg(F.max_by(F.struct("_next", "_members", "_end"), "rank").alias("s")).first()["s"]
-        state = (last["_next"], last["_members"], last["_end"])
-    done = spark.read.parquet(target).select("tr", "mean", "grp")
+    kept = ranked.filter(F.col("mean") >= ex_t)
+    # a group that begins behind rank r - 1 spans a step from the first value below that one less the step
+    step = (dims["hi"] - dims["lo"]) / groups
+    first = kept.filter("rank = 0").select(F.lit(0).cast("long").alias("rank"), F.lit(float(dims["hi"])).alias("end"))
+    ends = kept.select((F.col("rank") + 1).alias("rank"), F.col("mean").alias("end")).filter(F.col("rank") < total).unionByName(first)
+    limits = ends.select((F.col("rank") + total).alias("tie"), (F.col("end") - step).alias("x"))
+    both = global_rank(kept.select(F.col("rank").alias("tie"), F.col("mean").alias("x")).unionByName(limits), "x", "tie", "place", descending=True)
+    below = both.filter(F.col("tie") >= total).withColumn("rank", F.col("tie") - total)
+    # limits fall with their ranks, so as many of them come before one as its rank says
+    closes = F.least(F.greatest(F.col("place") - F.col("rank"), F.col("rank") + GROUP_MIN - 1), F.col("rank") + GROUP_MAX - 1)
+    jumps = cut_lineage(below.select(F.col("rank").cast("long").alias("rank"), F.least(closes + 1, F.lit(total)).cast("long").alias("to")))
+    begun = cut_lineage(kept.filter("rank = 0").select(F.lit(0).cast("long").alias("rank")))
+    known, found = 0, 1
+    while found > known:  # as many rounds as the number of groups has digits in base 2
+        ahead = begun.join(jumps, "rank").select(F.col("to").alias("rank")).filter(F.col("rank") < total)
+        more = cut_lineage(begun.unionByName(ahead).distinct())
+        onward = jumps.select("rank", F.col("to").alias("_via")).join(jumps.select(F.col("rank").alias("_via"), "to"), "_via", "left")
+        composed = cut_lineage(onward.select("rank", F.coalesce("to", F.lit(total)).alias("to")))
+        discard(begun, jumps)
+        begun, jumps = more, composed
+        known, found = found, begun.count()
+    discard(jumps)
+    numbered = global_rank(begun, "rank", "rank", "grp").select(F.col("rank").cast("long").alias("rank"), F.col("grp").cast("long").alias("begins"))
+    marked = kept.withColumn("rank", F.col("rank").cast("long")).join(numbered, "rank", "left")
+    done = running_max(marked, "rank", "begins", "grp").select("tr", "mean", "grp")
     small = done.groupBy("grp").agg(F.count(F.lit(1)).alias("_c")).filter(F.col("_c") >= GROUP_MIN)
     return done.join(small, "grp", "left_semi").select("tr", "mean", "grp")
 

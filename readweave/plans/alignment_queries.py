@@ -632,3 +632,28 @@ def _(d):
     x.select(lines.alias("value")).write.text(path)
     probs = legacy.legacy_map_probs(aln.read_bowtie_map(d.spark, path))
     return probs.select(F.col("transcript").cast("long").alias("tid"), F.col("pos").cast("long").alias("p"), "prob")
+
+
+def _nested(term, terms: int) -> str:
+    """A series or continued fraction from its last term to its first."""
+    out = "1::DOUBLE"
+    for k in range(terms, 0, -1):
+        out = term(k, out)
+    return out
+
+
+_TAIL_FIT = (14.0, 0.1)
+_SERIES = _nested(lambda k, rest: f"(1 + 2*a*a/{2 * k + 1}*{rest})", numeric.ERFC_TERMS)
+_FRACTION = _nested(lambda k, rest: f"(1 + {k}/(2*greatest(a*a, 1e-18::DOUBLE))/{rest})", numeric.ERFC_TERMS)
+
+
+@query(
+    "length_tail",
+    f"""SELECT tid, length, round(ln(0.5::DOUBLE) + CASE WHEN x < 0 THEN CASE WHEN a < {numeric.ERFC_SWITCH} THEN ln(1 + erf) ELSE ln(2 - exp(beyond)) END WHEN a < {numeric.ERFC_SWITCH} THEN ln(1 - erf) ELSE beyond END, 6) AS lnorm FROM (
+    SELECT tid, length, x, a, 2/sqrt(pi())*a*exp(-a*a)*{_SERIES} AS erf, -a*a - ln(greatest(a, 1e-9::DOUBLE)*sqrt(pi())*{_FRACTION}) AS beyond FROM (
+    SELECT tid, length, x, abs(x) AS a FROM (SELECT tid, length, ({_TAIL_FIT[0]}::DOUBLE - ln(length::DOUBLE))/({_TAIL_FIT[1]}::DOUBLE*sqrt(2::DOUBLE)) AS x FROM (SELECT tid, length::BIGINT*1000 AS length FROM parts))))""",
+)
+def _(d):
+    """Parts a thousand times as long, all beyond the table."""
+    long = d.parts.select("tid", (F.col("length").cast("long") * 1000).alias("length"))
+    return long.select("tid", "length", scoring.tail_lognorm(F.col("length"), *_TAIL_FIT).alias("lnorm"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from readweave.functions.order import credible_interval
 from readweave.functions.random import TRIES
-from readweave.operators import contrasts, convergence, genes, samples
+from readweave.operators import annotation, contrasts, convergence, genes, samples
 from readweave.operators import expression as de
 from readweave.operators import hyper, smoothing
 from readweave.plans.domain import Domain, with_views
@@ -501,15 +501,17 @@ def _(d):
     return global_rank(_means(d), "mean", "tr", "rank", descending=True).select("tr", F.col("mean").alias("expr"), "rank")
 
 
-@query(
-    "hyper_groups",
-    f"""WITH RECURSIVE m AS (SELECT tr, mean, row_number() OVER (ORDER BY mean DESC, tr) AS r FROM ({_MEANS})),
-    lim AS (SELECT (max(mean)-min(mean))/20 AS delta, max(mean) AS top FROM m),
+def groups_sql(kept: str, every: str) -> str:
+    """SQL of the groups of 20 steps: a row-by-row walk down the expressions."""
+    return f"""WITH RECURSIVE m AS (SELECT tr, mean, row_number() OVER (ORDER BY mean DESC, tr) AS r FROM ({kept})),
+    lim AS (SELECT (max(mean)-min(mean))/20 AS delta, max(mean) AS top FROM ({every})),
     walk AS (SELECT r, tr, mean, CAST(0 AS BIGINT) AS grp, 1 AS members, (SELECT top FROM lim) AS last_end FROM m WHERE r=1
       UNION ALL SELECT m.r, m.tr, m.mean, CASE WHEN c THEN w.grp+1 ELSE w.grp END, CASE WHEN c THEN 1 ELSE w.members+1 END, CASE WHEN c THEN w.mean ELSE w.last_end END
       FROM (SELECT *, (members >= 10 AND (SELECT delta FROM lim) < last_end-mean) OR members = 5000 AS c FROM walk) w JOIN m ON m.r = w.r+1)
-    SELECT tr, round(mean,6) AS mean, grp FROM walk WHERE grp IN (SELECT grp FROM walk GROUP BY grp HAVING count(*) >= 10)""",
-)
+    SELECT tr, round(mean,6) AS mean, grp FROM walk WHERE grp IN (SELECT grp FROM walk GROUP BY grp HAVING count(*) >= 10)"""
+
+
+@query("hyper_groups", groups_sql(_MEANS, _MEANS))
 def _(d):
     return hyper.hyper_groups(_means(d), groups=20)
 
@@ -551,3 +553,26 @@ def _lowess_sql(y: str, steps: int = 5) -> str:
 )
 def _(d):
     return smoothing.smooth_params(d.curve)
+
+
+@query("hyper_groups_above", groups_sql(f"SELECT * FROM ({_MEANS}) WHERE mean >= (SELECT avg(mean) FROM ({_MEANS}))", f"SELECT * FROM ({_MEANS})"))
+def _(d):
+    """Groups of the transcripts above an expression threshold; the step still spans all of them."""
+    means = _means(d)
+    return hyper.hyper_groups(means, groups=20, ex_t=means.agg(F.avg("mean")).first()[0])
+
+
+@query("rename_transcripts", "SELECT tid, gene, 'iso-'||tid AS transcript, length, eff_length FROM trs", None)
+def _(d):
+    names = d.table("supplier").select(F.col("s_suppkey").alias("tid"), F.concat(F.lit("iso-"), "s_suppkey").alias("name"))
+    return genes.rename_transcripts(d.trs, names)
+
+
+@query("all_transcripts", f"SELECT tid AS tr, mean, var FROM parts LEFT JOIN ({ORACLE['variance_sample_all']}) v ON v.tr = tid")
+def _(d):
+    return samples.all_transcripts(samples.variance_sample(d.series), d.parts)
+
+
+@query("genes_per_reference", "SELECT count(DISTINCT gene) AS genes FROM trs", None)
+def _(d):
+    return annotation.genes_per_reference(d.trs)
