@@ -235,12 +235,11 @@ class _Digest:
 
     def __init__(self, aligner: Aligner) -> None:
         self.width = len(aligner.b_bytes)
-        ids = [str(i) for i in range(max(aligner.a_size.size, self.width))]
-        self._written = [i + sep for sep in ",|;" for i in ids]
-        self._n = len(ids)
+        self._n = max(aligner.a_size.size, self.width)
+        self._written = pa.array([f"{i}{sep}" for sep in ",|;" for i in range(self._n)], pa.large_string())
 
-    def written(self, s: Aligned) -> str:
-        """Each group as ``a1,a2|b1;``."""
+    def written(self, s: Aligned) -> memoryview:
+        """The groups as ``a1,a2|b1``, joined by ``;``."""
         per_a, per_b = np.diff(s.ends_a, prepend=0), np.diff(s.ends_b, prepend=0)
         code = np.empty(s.a.size + s.b.size, np.int64)
         a, b = s.a.astype(np.int64), s.b.astype(np.int64)
@@ -248,7 +247,9 @@ class _Digest:
         b[s.ends_b - 1] += 2 * self._n
         code[np.arange(a.size) + np.repeat(s.ends_b - per_b, per_a)] = a
         code[np.arange(b.size) + np.repeat(s.ends_a, per_b)] = b
-        return "".join(map(self._written.__getitem__, code.tolist()))
+        taken = self._written.take(pa.array(code))
+        _, ends, text = taken.buffers()
+        return memoryview(text)[: int(np.frombuffer(ends, np.int64)[code.size]) - 1]
 
     def links(self, s: Aligned) -> np.ndarray:
         """A number for each linked pair of occurrences: a * width + b."""
@@ -268,11 +269,10 @@ def _counted(a_file: str, b_file: str):
 
     def one(aligner: Aligner, digest: _Digest, text: str | None) -> tuple:
         n_a = n_b = n_groups = n_links = 0
-        sha, last, keys = hashlib.sha256(), "", []
+        sha, keys = hashlib.sha256(), []
         for s in aligner.segments(text):
-            written = last + digest.written(s)
-            last = written[-1]
-            sha.update(written[:-1].encode())
+            sha.update(b";" if keys else b"")
+            sha.update(digest.written(s))
             links = digest.links(s)
             keys.append(np.unique(links, return_counts=True))
             n_a, n_b, n_groups, n_links = n_a + s.a.size, n_b + s.b.size, n_groups + s.ends_a.size, n_links + links.size
@@ -286,9 +286,10 @@ def _counted(a_file: str, b_file: str):
 
     def flush(number: int, ids: list[int | None], rows: list[tuple], width: int) -> Iterator[pa.RecordBatch]:
         pairs, at, docs = np.unique(np.concatenate([r[5] for r in rows]), return_inverse=True, return_counts=True)
-        ends = np.cumsum([r[5].size for r in rows])[:-1]
-        columns = [[number] * len(rows), ids, *([r[i] for r in rows] for i in range(5)), np.split(at.ravel(), ends), [r[6] for r in rows], [None] * len(rows)]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES, strict=True)], _NAMES)
+        ends = pa.array(np.cumsum([0] + [r[5].size for r in rows]), pa.int32())
+        lists = [pa.ListArray.from_arrays(ends, pa.array(x.ravel(), pa.int32())) for x in (at, np.concatenate([r[6] for r in rows]))]
+        plain = [[number] * len(rows), ids, *([r[i] for r in rows] for i in range(5))]
+        yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(plain, _TYPES, strict=False)), *lists, pa.nulls(len(rows), _TYPES[-1])], _NAMES)
         found = pa.StructArray.from_arrays([pa.array(x, pa.int32()) for x in (pairs // width, pairs % width, docs)], ["a", "b", "docs"])
         last = [pa.array([number], pa.int64()), *(pa.nulls(1, t) for t in _TYPES[1:-1]), pa.ListArray.from_arrays([0, len(found)], found)]
         yield pa.RecordBatch.from_arrays(last, _NAMES)
