@@ -40,7 +40,7 @@ A_FILE = "/opt/tokenizers/byte_bpe_50k.json"
 B_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 BATCH_CHARS = 8_000_000
 SEGMENT = 1_000_000
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 PROBE = 8
 #: Fixed value: how the byte-level vocabulary cuts text before it merges.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
