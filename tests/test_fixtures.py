@@ -346,8 +346,8 @@ def test_multinomial_counts():
 def test_gamma_moments(spark, uniform):
     for shape in (0.3, 1.0, 8.0):
         x = spark.range(60_000).select(rnd.gamma(5, F.lit(shape), F.col("id") * 7919, uniform=uniform).alias("g"))
-        got = x.agg(F.avg("g").alias("m"), F.variance("g").alias("v"), F.count_if(F.col("g") <= 0).alias("low"), F.approx_count_distinct("g").alias("n")).first()
-        assert got.m == pytest.approx(shape, rel=0.03) and got.v == pytest.approx(shape, rel=0.06) and got.low == 0 and got.n > 55_000
+        got = x.agg(F.avg("g").alias("m"), F.variance("g").alias("v"), F.count_if(F.col("g") <= 0).alias("low"), F.count_distinct("g").alias("n")).first()
+        assert got.m == pytest.approx(shape, rel=0.03) and got.v == pytest.approx(shape, rel=0.1) and got.low == 0 and got.n > 59_900
 
 
 def test_thinning_rule(spark):
