@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from readweave.functions import dna, numeric
+from readweave.functions.dna import REVERSE, flag_set
 from readweave.functions.text import gtf_attribute
 from readweave.operators import annotation, bias, fragments, genes, hits, legacy, scoring
 from readweave.plans.domain import PLACES, Domain, with_views
@@ -528,12 +529,13 @@ def _(d):
     return bias.pos_bias_uniform(_ends(d))
 
 
-@query(
-    "pos_bias_weight",
-    f"""WITH g AS (SELECT mate, size_grp, bin, coalesce(o.weight,0)+0.0005::DOUBLE AS o, coalesce(u.weight,0)+0.0005::DOUBLE AS u FROM (
+_POS_WEIGHT = f"""SELECT mate, size_grp, bin, (o/sum(o) OVER w)/(u/sum(u) OVER w) AS weight FROM (
+    SELECT mate, size_grp, bin, coalesce(o.weight,0)+0.0005::DOUBLE AS o, coalesce(u.weight,0)+0.0005::DOUBLE AS u FROM (
     SELECT unnest([5,3]) AS mate, b//20 AS size_grp, b%20 AS bin FROM (SELECT unnest(range(100)) AS b)) LEFT JOIN ({_OBS}) o USING (mate, size_grp, bin) LEFT JOIN ({_UNI}) u USING (mate, size_grp, bin))
-    SELECT mate, size_grp, bin, round((o/sum(o) OVER w)/(u/sum(u) OVER w),6) AS weight FROM g WINDOW w AS (PARTITION BY mate, size_grp)""",
-)
+    WINDOW w AS (PARTITION BY mate, size_grp)"""
+
+
+@query("pos_bias_weight", f"SELECT mate, size_grp, bin, round(weight,6) AS weight FROM ({_POS_WEIGHT})")
 def _(d):
     e = cut_lineage(_ends(d))
     return bias.pos_bias_weight(bias.pos_bias_observed(e), bias.pos_bias_uniform(e))
@@ -542,11 +544,16 @@ def _(d):
 _PARENTS = "[0,0,0,0,1,1,1,2,2,2,2,2,2,2,2,2,2,1,1,0,0]"
 
 
+def _windows(positions: str) -> str:
+    """The 23 bases around each of the rows (tid, mate, pos, ...), 3' ends read backwards."""
+    return f"""SELECT * EXCLUDE (piece, blk, first, win), CASE WHEN mate=5 THEN win ELSE reverse(win) END AS win FROM (
+        SELECT *, substring(piece, CAST(first%64+1 AS BIGINT), 23) AS win FROM (SELECT *, first//64 AS blk FROM (SELECT *, pos+CASE WHEN mate=5 THEN 30 ELSE 27 END AS first FROM ({positions}))) JOIN cuts USING (tid, blk))"""
+
+
 def _node_counts(positions: str) -> str:
-    """Base counts per node from rows (mate, pos, w, padded seq), unknown bases spread evenly."""
-    win = "substring(seq, 41+CASE WHEN mate=5 THEN pos-10 ELSE pos-13 END, 23)"
+    """Base counts per node from rows (tid, mate, pos, w), unknown bases spread evenly."""
     letters = f"""SELECT mate, node, w, {_PARENTS}[node+1] AS depth, substring(win, node+1, 1) AS x, substring(win, node+2, 1) AS y, substring(win, node+3, 1) AS z FROM (
-        SELECT mate, w, CASE WHEN mate=5 THEN {win} ELSE reverse({win}) END AS win, unnest(range(21)) AS node FROM ({positions}))"""
+        SELECT mate, w, win, unnest(range(21)) AS node FROM (SELECT mate, win, sum(w) AS w FROM ({_windows(positions)}) GROUP BY 1,2))"""
 
     def choices(col: str, depth: int) -> str:
         return f"CASE WHEN depth < {depth} THEN [''] WHEN {col}='N' THEN ['A','C','G','T'] ELSE [{col}] END"
@@ -557,7 +564,7 @@ def _node_counts(positions: str) -> str:
         SELECT *, len(c1) AS k1, len(c2) AS k2, len(c3) AS k3 FROM (SELECT mate, node, w, {choices('x', 2)} AS c1, {choices('y', 1)} AS c2, {choices('z', 0)} AS c3 FROM ({summed})))))) GROUP BY 1,2,3,4,5"""
 
 
-_SEQ_COUNTS = _node_counts("SELECT mate, pos, 1::DOUBLE AS w, seq FROM ends JOIN padded USING (tid)")
+_SEQ_COUNTS = _node_counts("SELECT tid, mate, pos, 1::DOUBLE AS w FROM ends")
 
 
 @query("seq_bias_counts", f"SELECT mate, node, bpp, bp, b, round(weight,6) AS weight FROM ({_SEQ_COUNTS})")
@@ -565,20 +572,29 @@ def _(d):
     return bias.seq_bias_counts(_ends(d), d.seqs)
 
 
-# Too many rows for the comparison engine; checked against brute force in the tests.
-@query("seq_bias_uniform")
+# Expected ends of each position, and the bases around them.
+_EXPECTED = """SELECT tid, mate, CAST(CASE WHEN mate=5 THEN spot ELSE spot+1 END AS BIGINT) AS pos, w FROM (
+    SELECT tid, mate, spot, sum(coalesce(d,0)) OVER (PARTITION BY tid, mate ORDER BY spot) AS w FROM (SELECT DISTINCT tid, mate, tr_len, unnest(range(tr_len)) AS spot FROM (SELECT DISTINCT tid, mate, tr_len FROM ends))
+    LEFT JOIN (SELECT tid, mate, spot, sum(d) AS d FROM (
+        SELECT tid, mate, CASE WHEN mate=5 THEN 0 ELSE frag_len-1 END AS spot, 1::DOUBLE/(tr_len-frag_len+1) AS d FROM ends
+        UNION ALL SELECT tid, mate, tr_len-frag_len+1, -1::DOUBLE/(tr_len-frag_len+1) FROM ends WHERE mate=5) GROUP BY 1,2,3) USING (tid, mate, spot)) WHERE w > 1e-12::DOUBLE"""
+_SEQ_EXPECTED = _node_counts(_EXPECTED)
+
+
+@query("seq_bias_uniform", f"SELECT mate, node, bpp, bp, b, round(weight,3) AS weight FROM ({_SEQ_EXPECTED})", 3)
 def _(d):
     return bias.seq_bias_uniform(_ends(d), d.seqs)
 
 
-@query(
-    "seq_bias_norm",
-    f"""SELECT mate, node, bpp, bp, b, round(w/sum(w) OVER (PARTITION BY mate, node, bpp, bp),6) AS prob FROM (
+def _node_probs(counts: str) -> str:
+    return f"""SELECT mate, node, bpp, bp, b, w/sum(w) OVER (PARTITION BY mate, node, bpp, bp) AS prob FROM (
     SELECT mate, node, bpp, bp, b, coalesce(weight,0)+0.01::DOUBLE/pow(4,depth+1) AS w FROM (
       SELECT mate, node, depth, bpp, bp, unnest(['A','C','G','T']) AS b FROM (SELECT *, unnest(CASE WHEN depth<1 THEN [''] ELSE ['A','C','G','T'] END) AS bp FROM (
       SELECT *, unnest(CASE WHEN depth<2 THEN [''] ELSE ['A','C','G','T'] END) AS bpp FROM (SELECT *, {_PARENTS}[node+1] AS depth FROM (SELECT unnest([5,3]) AS mate, CAST(n AS INT) AS node FROM (SELECT unnest(range(21)) AS n))))))
-    LEFT JOIN ({_SEQ_COUNTS}) USING (mate, node, bpp, bp, b))""",
-)
+    LEFT JOIN ({counts}) USING (mate, node, bpp, bp, b))"""
+
+
+@query("seq_bias_norm", f"SELECT mate, node, bpp, bp, b, round(prob,6) AS prob FROM ({_node_probs(_SEQ_COUNTS)})")
 def _(d):
     return bias.seq_bias_norm(bias.seq_bias_counts(_ends(d), d.seqs))
 
@@ -588,26 +604,83 @@ def _model(d: Domain):
     return e, bias.BiasModel.fit(e, d.seqs)
 
 
-@query("seq_bias_ratio")
+def _by_triple(probs: str) -> str:
+    """mate, node, k, prob of every letter triple; unknown letters before are averaged, an unknown base has a quarter."""
+    return f"""SELECT mate, node, x||y||z AS k, CASE WHEN z='N' THEN 0.25::DOUBLE ELSE avg(prob) END AS prob FROM ({probs}),
+        (SELECT * FROM (SELECT unnest(['A','C','G','T','N']) AS x), (SELECT unnest(['A','C','G','T','N']) AS y), (SELECT unnest(['A','C','G','T','N']) AS z))
+        WHERE (bpp='' OR x='N' OR bpp=x) AND (bp='' OR y='N' OR bp=y) AND (z='N' OR b=z) GROUP BY mate, node, x, y, z"""
+
+
+_RATIO = f"""ratio AS MATERIALIZED (SELECT mate, node, k, r.prob/f.prob AS r FROM ({_by_triple(_node_probs(_SEQ_COUNTS))}) r JOIN ({_by_triple(_node_probs(_SEQ_EXPECTED))}) f USING (mate, node, k))"""
+
+
+def _end_ratios(spots: str) -> str:
+    """Sequence ratio of rows (tid, mate, pos)."""
+    return f"""SELECT tid, mate, pos, ratio FROM ({_windows(spots)}) JOIN (SELECT mate, win, product(r) AS ratio FROM (
+        SELECT mate, win, node, substring(win, node+1, 3) AS k FROM (SELECT mate, win, unnest(range(21)) AS node FROM (SELECT DISTINCT mate, win FROM ({_windows(spots)})))) JOIN ratio USING (mate, node, k) GROUP BY ALL) USING (mate, win)"""
+
+
+# Weights of all positions: a 5' end's start, a 3' end's last base.
+_WEIGHTS = f"""{_RATIO}, places AS (SELECT tid, mate, CASE WHEN mate=5 THEN spot ELSE spot+1 END AS pos FROM (SELECT tid, unnest([5,3]) AS mate, spot FROM (SELECT tid, unnest(range(length)) AS spot FROM doc_trs))),
+    weights AS MATERIALIZED (SELECT tid, mate, spot, n, ratio*CASE WHEN n < 20 THEN 1 ELSE w.weight END AS w FROM (SELECT tid, mate, CASE WHEN mate=5 THEN pos ELSE pos-1 END AS spot, ratio, length AS n, length AS tr_len FROM ({_end_ratios("SELECT * FROM places")}) JOIN doc_trs USING (tid))
+        LEFT JOIN ({_POS_WEIGHT}) w USING (mate) WHERE w.size_grp = {_GRP} AND w.bin = least(spot*20//greatest(n, 1), 19)),
+    along AS MATERIALIZED (SELECT tid, any_value(n) AS n, list(w ORDER BY spot) FILTER (mate=5) AS five, list(w ORDER BY spot) FILTER (mate=3) AS three FROM weights GROUP BY tid)"""
+
+
+def _norms(wanted: str) -> str:
+    """Sums of weights of rows (tid, kind, frag_len)."""
+    return f"""SELECT tid, kind, frag_len, CASE kind WHEN 0 THEN list_sum(five[1:n-frag_len+1]) WHEN 1 THEN list_sum(three[frag_len:n]) ELSE list_dot_product(five[1:n-frag_len+1], three[frag_len:n]) END AS norm
+        FROM ({wanted}) JOIN along USING (tid)"""
+
+
+_KIND = "CASE WHEN paired THEN 2 WHEN back THEN 1 ELSE 0 END"
+
+
+@query("seq_bias_ratio", f"WITH {_RATIO} SELECT tid, mate, pos, round(ratio,6) AS ratio FROM ({_end_ratios('SELECT DISTINCT tid, mate, pos FROM ends')})")
 def _(d):
     e, model = _model(d)
     return bias.seq_bias_ratio(e, model)
 
 
-@query("weight_norm")
+@query("weight_norm", f"WITH {_WEIGHTS} SELECT tid, kind, frag_len, round(norm,2) AS norm FROM ({_norms(f'SELECT DISTINCT tid, {_KIND} AS kind, frag_len FROM uniq UNION SELECT tid, CASE WHEN mate=5 THEN 0 ELSE 1 END, frag_len FROM ends')})", 2)
 def _(d):
+    """Of each end's length and of each unique fragment's."""
     e, model = _model(d)
-    wanted = e.select("tid", F.when(F.col("mate") == 5, 0).otherwise(1).alias("_kind"), "frag_len").distinct()
-    return bias.weight_norms(wanted, d.seqs, model.pos, model.ratio).withColumnRenamed("_kind", "kind")
+    ends = e.select("tid", F.when(F.col("mate") == 5, 0).otherwise(1).alias("_kind"), "frag_len")
+    kind = F.when(F.col("paired"), 2).when(flag_set(F.col("first.flag"), REVERSE), 1).otherwise(0)
+    whole = _unique(d).select(F.col("first.tid").cast("long").alias("tid"), kind.alias("_kind"), F.col("frag_len").cast("long").alias("frag_len"))
+    return bias.weight_norms(ends.unionByName(whole).distinct(), d.seqs, model.pos, model.ratio).withColumnRenamed("_kind", "kind")
+
 
+_BIASED = f"""SELECT f.read_id, f.tid, f.p, CASE WHEN f.paired THEN coalesce(t.lp,0)-l.lnorm ELSE 0 END + ln(CASE WHEN f.kind=1 THEN 1 ELSE five[f.p+1] END*CASE WHEN f.kind=0 THEN 1 ELSE three[f.last] END) - ln(norm) AS place
+    FROM (SELECT *, {_KIND} AS kind, CASE WHEN paired THEN flen ELSE rl END AS frag_len, CASE WHEN paired THEN p2 ELSE p END+rl AS last FROM frags WHERE NOT (paired AND back)) f JOIN along USING (tid)
+    JOIN ({_norms(f'SELECT DISTINCT tid, {_KIND} AS kind, CASE WHEN paired THEN flen ELSE rl END AS frag_len FROM frags')}) USING (tid, kind, frag_len)
+    LEFT JOIN ({_TABLE}) t ON t.len=f.flen JOIN ({_TABLE}) l ON l.len=f.tr_len"""
 
-@query("alignment_logprob_bias")
+
+@query(
+    "alignment_logprob_bias",
+    f"""WITH {_WEIGHTS} SELECT f.read_id, CASE WHEN place IS NOT NULL THEN CAST(f.tid+1 AS INT) ELSE -1 END AS tr_id, f.tid::BIGINT*{PLACES}+f.p AS frag_seq, round(place+lp_seq,6) AS lprob, round(place+low_seq,6) AS low_lprob FROM frags f
+    LEFT JOIN ({_BIASED}) b ON b.tid=f.tid AND b.p=f.p LEFT JOIN (SELECT tid, p, sum(lp_seq) AS lp_seq, sum(low_seq) AS low_seq FROM ({_SCORED}) GROUP BY 1,2) s ON s.tid=f.tid AND s.p=f.p""",
+)
 def _(d):
+    """Fragments of the wrong strand have tr_id -1 and no probability."""
     _, model = _model(d)
-    return scoring.score_fragments(d.frags, d.doc_trs, d.seqs, FIT, bias=model)
+    return scoring.score_fragments(d.frags, d.doc_trs, d.seqs, FIT, bias=model).withColumn("tr_id", F.coalesce("tr_id", F.lit(-1)))
+
 
+# Lengths as far as their density counts.
+_LIKELY = f"SELECT tid, unnest(range(1, least(n, CAST(ceil(exp({_MU}-{_SD}*{_SD}+{_SD}*sqrt(90::DOUBLE))) AS BIGINT))+1)) AS frag_len, 2 AS kind FROM along"
 
-@query("effective_length_bias")
+
+@query(
+    "effective_length_bias",
+    f"""WITH {_WEIGHTS}, raw AS (SELECT tid, length, CASE WHEN v > 1 THEN v ELSE length END AS raw FROM (
+        SELECT tid, length, exp(-lnorm)*coalesce(s,0) AS v FROM doc_trs JOIN ({_TABLE}) ON len=length LEFT JOIN (
+        SELECT tid, sum(exp({_LP})*norm) AS s FROM (SELECT tid, frag_len AS len, norm FROM ({_norms(_LIKELY)})) GROUP BY 1) USING (tid)))
+    SELECT tid, round(raw*(SELECT sum(length)/sum(raw) FROM raw),4) AS eff_length FROM raw""",
+    4,
+)
 def _(d):
     _, model = _model(d)
     table = scoring.length_table(d.spark, *FIT, _longest(d))

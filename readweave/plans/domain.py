@@ -222,6 +222,7 @@ VIEWS: dict[str, str] = {
     "probs": "SELECT read_id, tr_id, lprob, exp(lprob-m)/sum(exp(lprob-m)) OVER (PARTITION BY read_id) AS prob FROM (SELECT *, max(lprob) OVER (PARTITION BY read_id) AS m FROM merged)",
     "seqs": f"SELECT doc_id AS tid, 'doc'||doc_id AS name, source AS gene, {_bases(REF_BASES)} AS seq FROM documents",
     "padded": "SELECT tid, repeat('N',40)||seq||repeat('N',40) AS seq FROM seqs",
+    "cuts": "SELECT tid, blk, substring(seq, blk*64+1, 87) AS piece FROM (SELECT tid, seq, unnest(range(n//64+1)) AS blk FROM (SELECT tid, seq, length(seq) AS n FROM padded))",
     "doc_trs": "SELECT doc_id AS tid, source AS gene, 'doc'||doc_id AS transcript, length(text) AS length, CAST(length(text) AS DOUBLE) AS eff_length FROM documents",
     "folded": f"""SELECT doc_id AS tid, {_bases(READ_BASES)} AS r, regexp_replace(translate(text, '{LETTERS}', '{QUALITIES}'), '[^5?FHI]', '8', 'g') AS q, length(text) AS tr_len FROM documents WHERE length(text) > 0""",
     "tiles": f"""SELECT tid, p, flen, rl, tr_len, p+flen-rl AS p2, substring(r, p+1, rl) AS s1, substring(q, p+1, rl) AS q1, substring(r, p+flen-rl+1, rl) AS s2, substring(q, p+flen-rl+1, rl) AS q2
@@ -239,7 +240,7 @@ VIEWS: dict[str, str] = {
 
 
 # computed once per query there
-STORED = {"folded", "seqs", "padded", "frags", "uniq"}
+STORED = {"folded", "seqs", "padded", "cuts", "frags", "uniq"}
 
 
 def with_views(sql: str) -> str:

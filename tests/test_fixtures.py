@@ -384,6 +384,45 @@ def test_uniform_sequence_bias_brute_force(spark):
     assert got == pytest.approx(want)
 
 
+def test_bias_sums_over_block_borders(spark):
+    rng = np.random.default_rng(7)
+    pos, ratio = rng.uniform(0.5, 2, (2, 5, bias.BINS)), rng.uniform(0.8, 1.25, (2, bias.NODES, 5, 5, 5))
+    local = {i: "".join(rng.choice(list("ACGTNx"), n)) for i, n in enumerate((2 * bias.SPAN + 300, 2 * bias.SPAN, bias.SPAN + 1, 45, 1, 0))}
+    seqs = spark.createDataFrame(list(local.items()), "tid long, seq string")
+
+    def weight(seq, mate, at):
+        code = ["ACGT".find(seq[i]) % 5 if 0 <= i < len(seq) else 4 for i in (range(at - 10, at + 13) if mate == 0 else range(at + 10, at - 13, -1))]
+        group = sum(len(seq) >= limit for limit in bias.SIZE_LIMITS)
+        value = pos[mate, group, min(at * 20 // len(seq), 19)] if len(seq) >= 20 else 1.0
+        return value * np.prod([ratio[mate, k, code[k], code[k + 1], code[k + 2]] for k in range(bias.NODES)])
+
+    both = {t: [np.array([weight(s, m, at) for at in range(len(s))]) for m in (0, 1)] for t, s in local.items()}
+    wanted, want = [], {}
+    for t, (five, three) in both.items():
+        n = len(five)
+        for length in sorted({0, 1, 30, bias.SPAN, bias.SPAN + 1, 2 * bias.SPAN - 5, n, n + 1} | {n - 3} - {-3, -2}):
+            for kind in (0, 1, 2):
+                wanted.append((t, kind, length))
+                inside = five[: n - length + 1] if kind == 0 else three[length - 1 :] if kind == 1 else five[: n - length + 1] * three[length - 1 :] if 0 < length <= n else np.zeros(0)
+                want[wanted[-1]] = 1.0 if length == 0 else inside.sum() if length <= n else 0.0
+    got = bias.weight_norms(spark.createDataFrame(wanted, "tid long, _kind int, frag_len long"), seqs, pos, ratio).collect()
+    assert len(got) == len(wanted)
+    assert {(r["tid"], r["_kind"], r["frag_len"]): r["norm"] for r in got} == pytest.approx(want, rel=1e-9)
+
+    mu, sigma = 4.0, 0.5
+    norms = spark.createDataFrame([(t, len(s), 0.1) for t, s in local.items()], "tid long, length long, lnorm double")
+    raw = {}
+    for t, (five, three) in both.items():
+        n = len(five)
+        p = [np.exp(-(np.log(k) + np.log(sigma) + 0.918938533192 + ((np.log(k) - mu) / sigma) ** 2 / 2)) for k in range(1, n + 1)]
+        value = np.exp(-0.1) * sum(p[k] * (five[: n - k] @ three[k:]) for k in range(n))
+        raw[t] = value if value > 1 else n
+    factor = sum(map(len, local.values())) / sum(raw.values())
+    model = bias.BiasModel(pos, ratio, spark, seqs)
+    out = {r.tid: r.eff_length for r in bias.effective_length_bias(None, seqs, model, norms, mu, sigma).collect()}
+    assert out == pytest.approx({t: v * factor for t, v in raw.items()}, rel=1e-9)
+
+
 def test_pair_sums_and_slices(spark):
     rng = np.random.default_rng(1)
     five, three = rng.random(37), rng.random(37)
