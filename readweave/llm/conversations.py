@@ -152,7 +152,7 @@ def faults(rows: DataFrame) -> DataFrame:
     again = keyed.groupBy(F.col("conv").alias("_conv"), F.col("digest").alias("_digest")).agg(F.min(F.struct("turn")).alias("earliest"), F.count(F.lit(1)).alias("n"))
     marked = keyed.join(again.filter("n > 1"), F.col("conv").eqNullSafe(F.col("_conv")) & (F.col("digest") == F.col("_digest")), "left")
     later = F.coalesce(F.struct("turn") > F.col("earliest"), F.lit(False))
-    last = F.expr(f"right(rtrim('{_WHITE.encode('unicode_escape').decode()}', text), 1)")
+    last = F.right(F.rtrim("text", F.lit(_WHITE)), F.lit(1))
     kind = F.when(last == "", "blank").when(later, "duplicate")
     ready = marked.select("conv", "turn", "role", "text", kind.alias("kind"), F.coalesce(~last.isin(".", "!", "?"), F.lit(False)).alias("cut"))
     order = ["conv", "turn", "role"]

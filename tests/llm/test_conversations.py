@@ -101,6 +101,14 @@ def test_repair(spark, monkeypatch, chunk):
     assert len(got) == len(talks)
 
 
+def test_white_space_only(spark):
+    """Vertical tabs and form feeds are white space; the letters and digits of their escapes aren't."""
+    texts = ["x", "0b", "cxc0", "Go.b", "Go.\x0bx0c", "Go.\x0b", "Go!\x0c \n", "\x0b\x0c", "Go.\xa0", "\\", "Go.\x1f", "Go\x00"]
+    talk = [(i, "user" if i % 2 == 0 else "assistant", x) for i, x in enumerate(texts)]
+    got = cv.repair(spark.createDataFrame([(1, *row) for row in talk], "conv_id int, turn int, role string, text string")).collect()
+    assert [tuple(r[f] for f in FIELDS) for r in got] == [plain(talk)]
+
+
 def test_empty(spark):
     assert cv.repair(spark.createDataFrame([], "conv_id int, turn int, role string, text string")).collect() == []
 
