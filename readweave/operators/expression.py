@@ -93,8 +93,7 @@ def de_posterior(samples: DataFrame, prior: DataFrame, lambda0: float = 2.0, log
 
 def de_samples(posterior: DataFrame, seed: int, lambda0: float = 2.0) -> DataFrame:
     """tr, cond, n, value, var: one draw of the condition mean per input draw."""
-    precision = rnd.gamma(seed, F.col("post_alpha"), "tr", "cond", "n") / F.col("post_beta")
-    drawn = posterior.withColumn("_prec", precision)
+    drawn = rnd.with_gamma(posterior, "_prec", seed, F.col("post_alpha"), "tr", "cond", "n").withColumn("_prec", F.col("_prec") / F.col("post_beta"))
     drawn = drawn.withColumn("var", 1.0 / (F.col("_prec") * (lambda0 + F.col("reps"))))
     value = F.col("post_mean") + F.sqrt("var") * rnd.portable_normal(seed + 1, "tr", "cond", "n")
     return drawn.select("tr", "cond", "n", value.alias("value"), "var")

@@ -350,6 +350,33 @@ def test_gamma_moments(spark, uniform):
         assert got.m == pytest.approx(shape, rel=0.03) and got.v == pytest.approx(shape, rel=0.1) and got.low == 0 and got.n > 59_900
 
 
+@pytest.mark.parametrize("uniform", [rnd.uniform, rnd.portable_uniform])
+def test_gamma_columns_are_the_same_draws(spark, uniform):
+    x = spark.range(20_000).select("id", (F.col("id") % 9 / 4.0 + 0.1).alias("shape"))
+    got = rnd.with_gamma(x.withColumn("one", rnd.gamma(5, F.col("shape"), "id", uniform=uniform)), "other", 5, F.col("shape"), "id", uniform=uniform)
+    assert got.columns == ["id", "shape", "one", "other"]
+    assert got.filter("NOT one <=> other OR one IS NULL").count() == 0
+
+
+@pytest.mark.parametrize("kind", ["theta", "rpkm"])
+def test_draws_are_dealt_to_all_tasks(spark, monkeypatch, kind):
+    """Few rows make many draws; Spark would put so few bytes into one task."""
+    seen = []
+    written = vb.cut_lineage
+    monkeypatch.setattr(vb, "cut_lineage", lambda df: seen.append(df.select(F.spark_partition_id().alias("p")).distinct().count()) or written(df))
+    alphas = spark.range(60).groupBy((F.col("id") % 30).alias("tr_id")).agg(F.count(F.lit(1)).cast("double").alias("alpha"))
+    lengths = spark.createDataFrame([(i, 100 + i) for i in range(28)] + [(3, 50), (4, 0), (5, None)], "tid long, length int")
+    got = vb.vb_samples(alphas, 120, 1, kind, lengths).toPandas()
+    assert seen == [int(spark.conf.get("spark.sql.shuffle.partitions"))]
+    if kind == "theta":
+        assert len(got) == 29 * 120 and np.allclose(got.groupby("n")["value"].sum(), 1.0)
+    else:  # a row for each length of a transcript, none without one
+        assert len(got) == 31 * 120 and sorted(got.loc[got["n"] == 7, "tr"].unique()) == list(range(28))
+        theta = vb.vb_samples(alphas, 120, 1).toPandas().set_index(["tr", "n"])["value"]
+        one = got[got["tr"] == 3].groupby("n")["value"].apply(sorted)
+        assert all(np.allclose(v, [theta[3, n] / 103 * 1e9, theta[3, n] / 50 * 1e9]) for n, v in one.items())
+
+
 def test_thinning_rule(spark):
     for total, out in ((10, 5), (84, 30), (7, 7), (1000, 3)):
         df = spark.range(1, total + 1).withColumnRenamed("id", "i")
