@@ -377,6 +377,34 @@ def test_draws_are_dealt_to_all_tasks(spark, monkeypatch, kind):
         assert all(np.allclose(v, [theta[3, n] / 103 * 1e9, theta[3, n] / 50 * 1e9]) for n, v in one.items())
 
 
+def test_legacy_marks(spark):
+    from readweave.plans.alignment_queries import _marks
+
+    pairs = [("ACGT", "ACGT"), ("acgt", "ACCA"), ("NNNN", "ACGN"), ("ACG", "ACGT"), ("ACGTA", "AC"), ("A", "T"), ("A" * 60, "AC" * 30)]
+    x = spark.createDataFrame(pairs, "raw string, seq string").withColumn("ref", F.upper("raw"))
+    got = x.select("raw", "seq", _marks(F.col("ref"), F.col("seq")).alias("m"))
+    for raw, seq, marks in got.collect():
+        ref = raw.upper().ljust(len(seq), "-")
+        assert marks == ",".join(f"{i}:N>N" for i, b in enumerate(seq) if ref[i] != b)
+    # the derived column stands outside of the lambda
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("upper(") == 1 and "substring(" not in plan
+
+
+def test_block_pairs_join_near_texts_once(spark):
+    """Both ends of short lengths lie in one text: a join of it with the lengths, not one for each end."""
+    seqs = spark.createDataFrame([(1, "ACGTN" * 500), (2, "AC"), (3, "G" * bias.SPAN)], "tid long, seq string")
+    asked = spark.createDataFrame([(1, 2500, 0), (1, 2500, 1), (1, 2500, 2), (2, 2, 0), (3, bias.SPAN, 0)], "tid long, _n long, _q long")
+    got = bias._block_pairs(asked, seqs).collect()
+    text = {r.tid: "N" * bias.MARGIN + r.seq + "N" * (3 * bias.SPAN) for r in seqs.collect()}
+    assert sorted((r.tid, r._q, r._blk) for r in got) == [(1, 0, 0), (1, 0, 1), (1, 0, 2), (1, 1, 0), (1, 1, 1), (1, 2, 0), (2, 0, 0), (3, 0, 0)]
+    for r in got:
+        near, far = (text[r.tid][b * bias.SPAN :] for b in (r._blk, r._blk + r._q))
+        assert near.startswith(r._near.rstrip("N")) and far.startswith(r._far.rstrip("N")) and len(r._near) <= bias.SPAN + 2 * bias.MARGIN
+    short = bias._block_pairs(asked.filter("_q = 0"), seqs)._jdf.queryExecution().optimizedPlan().toString()
+    assert short.count("Join") == 1
+
+
 def test_thinning_rule(spark):
     for total, out in ((10, 5), (84, 30), (7, 7), (1000, 3)):
         df = spark.range(1, total + 1).withColumnRenamed("id", "i")
