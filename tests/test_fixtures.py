@@ -6,6 +6,7 @@ import math
 import struct
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -570,3 +571,11 @@ def test_stop_rules_of_chains(spark, stop):
     run = sampling.estimate_expression(h, 4, 5, False, settings, seed=3, reread=reread, **stop)
     assert len(asked) == 2 and run.samples_n in (2, 3)
     assert run.draws.select("n").distinct().count() == 2 and run.draws.select("chain").distinct().count() == 2
+
+
+def test_pairing_by_cigar_in_batches():
+    """A deletion skips reference, an insertion read; everything stops at the shorter text."""
+    ref, cigar = pd.Series(["ACGTACGT", "ACGT", "AC", ""]), pd.Series(["2M2D3M", "1M2I2M", "5M", "3M"])
+    texts, row, at = scoring.aligned_pieces(ref, cigar, pd.Series(["ACACG", "ATTCG", "ACGTA", "ACG"]), pd.Series(["abcde", "fghij", "klmno", "pqr"]))
+    assert texts == [b"ACACG" + b"ACG" + b"AC", b"ACACG" + b"ACG" + b"AC", b"abcde" + b"fij" + b"kl"]
+    assert row.tolist() == [0] * 5 + [1] * 3 + [2] * 2 and at.tolist() == [0, 1, 2, 3, 4, 0, 3, 4, 0, 1]
