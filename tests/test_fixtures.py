@@ -579,3 +579,17 @@ def test_pairing_by_cigar_in_batches():
     texts, row, at = scoring.aligned_pieces(ref, cigar, pd.Series(["ACACG", "ATTCG", "ACGTA", "ACG"]), pd.Series(["abcde", "fghij", "klmno", "pqr"]))
     assert texts == [b"ACACG" + b"ACG" + b"AC", b"ACACG" + b"ACG" + b"AC", b"abcde" + b"fij" + b"kl"]
     assert row.tolist() == [0] * 5 + [1] * 3 + [2] * 2 and at.tolist() == [0, 1, 2, 3, 4, 0, 3, 4, 0, 1]
+
+
+def test_noise_scores_each_alignment_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def passed(x):
+        seen.add(1)
+        return x
+
+    rows = spark.createDataFrame([(i, i // 2, 1, -1.0 - i, -5.0 - i) for i in range(40)], "frag_seq long, read_id long, tr_id int, lprob double, low_lprob double")
+    scored = rows.withColumn("lprob", F.udf(passed, "double").asNondeterministic()("lprob"))
+    got = scoring.noise_alignment(scored).collect()
+    assert seen.value == 40
+    assert len(got) == 60 and sorted(r.lprob for r in got if r.tr_id == 0) == sorted(-6.0 - 2 * i for i in range(20))
