@@ -593,3 +593,16 @@ def test_noise_scores_each_alignment_once(spark):
     got = scoring.noise_alignment(scored).collect()
     assert seen.value == 40
     assert len(got) == 60 and sorted(r.lprob for r in got if r.tr_id == 0) == sorted(-6.0 - 2 * i for i in range(20))
+
+
+def test_context_counts_make_no_row_per_node(spark):
+    rows = [(5, "ACGTNACGTTACGATTACANNGC", 1.0), (3, "N" * 23, 2.0), (5, "ACGTNACGTTACGATTACANNGC", 0.5), (3, "G" * 22 + "T", 3.0), (3, None, 4.0)]
+    want = {}
+    for mate, win, w in rows:
+        win = win or "N" * 23
+        for node, depth in enumerate(bias.PARENTS):
+            key = (mate, node, win[node] if depth >= 2 else "", win[node + 1] if depth >= 1 else "", win[node + 2])
+            want[key] = want.get(key, 0.0) + w
+    counted = bias._context_rows(spark.createDataFrame(rows, "mate int, win string, w double"))
+    assert {tuple(r)[:5]: r.w for r in counted.collect()} == want
+    assert "Generate" not in counted._jdf.queryExecution().executedPlan().toString()
