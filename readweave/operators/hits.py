@@ -13,6 +13,18 @@ def dedupe_alignments(hits: DataFrame) -> DataFrame:
     return group_log_sum_exp(hits, ["read_id", "tr_id"], "lprob", "lprob")
 
 
+def merge_laid_out(hits: DataFrame) -> DataFrame:
+    """:func:`dedupe_alignments` of hits that are laid out by read, by one sort that steps per read go on with; no hash tables."""
+    same = Window.partitionBy("read_id", "tr_id").orderBy("lprob")
+    whole = same.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    value, top = F.col("lprob"), F.col("_top")
+    known = F.min(value.isNotNull()).over(whole)
+    topped = hits.select("read_id", "tr_id", "lprob", F.row_number().over(same).alias("_at"), F.max("lprob").over(whole).alias("_top"), known.alias("_known"))
+    mass = F.sum(F.when(value == top, F.lit(1.0)).otherwise(F.exp(value - top))).over(whole)
+    merged = F.when(F.col("_known") & (top > float("-inf")), top + F.log("_mass"))
+    return topped.withColumn("_mass", mass).filter("_at = 1").select("read_id", "tr_id", merged.alias("lprob"))
+
+
 def row_softmax(hits: DataFrame, value: str = "lprob", phi: str = "phi", log_phi: str | None = None) -> DataFrame:
     """Softmax within each read, by one pass over the hits laid out by read."""
     read = Window.partitionBy("read_id")
@@ -25,9 +37,9 @@ def row_softmax(hits: DataFrame, value: str = "lprob", phi: str = "phi", log_phi
 
 
 def normalise_alignments(hits: DataFrame) -> DataFrame:
-    """Merged alignments as probabilities that sum to 1 per read. One exchange serves merging, totals and division."""
+    """Merged alignments as probabilities that sum to 1 per read. One exchange and one sort serve merging, totals and division."""
     laid = hits.select("read_id", "tr_id", "lprob").repartition("read_id")
-    return row_softmax(dedupe_alignments(laid), "lprob", "prob").select("read_id", "tr_id", "prob")
+    return row_softmax(merge_laid_out(laid), "lprob", "prob").select("read_id", "tr_id", "prob")
 
 
 def alignment_totals(hits: DataFrame) -> DataFrame:

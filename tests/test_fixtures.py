@@ -99,6 +99,19 @@ def test_prob_merge_and_normalise(spark):
     assert p == pytest.approx({1: 0.844312, 2: 0.155303, 0: 0.000385}, abs=1e-6)
 
 
+def test_laid_out_hits_merge_by_one_sort(spark):
+    """Equal to merging by groups for odd values too, and no table of all hits of a task is kept for it."""
+    inf = float("inf")
+    data = [("r", 1, -1.0), ("r", 1, -1.0), ("r", 1, -900.0), ("r", 0, -8.0), ("r", 3, None), ("r", 3, -1.0), (None, None, -1.0), (None, None, -2.0)]
+    data += [("q", 1, -inf), ("q", 2, -3.0), ("q", 2, -inf), ("x", None, -1.0), ("w", 1, None), ("z", 1, float("nan"))]
+    h = spark.createDataFrame(data, "read_id string, tr_id long, lprob double")
+    key = lambda r: (str(r.read_id), str(r.tr_id))
+    got, want = (sorted(x.collect(), key=key) for x in (hits.merge_laid_out(h.repartition("read_id")), hits.dedupe_alignments(h)))
+    assert [key(r) for r in got] == [key(r) for r in want] and [r.lprob for r in got] == [pytest.approx(r.lprob, rel=1e-12, nan_ok=True) for r in want]
+    plan = hits.normalise_alignments(h)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 1 and plan.count("Exchange") == 1 and "Aggregate" not in plan
+
+
 def test_nearest_params(spark):
     params = spark.createDataFrame([(0.0, 1.0, 1.0), (2.0, 2.0, 2.0), (4.0, 3.0, 3.0)], "expr double, alpha double, beta double")
     q = spark.createDataFrame([(v,) for v in (-1.0, 1.0, 2.0, 3.0, 9.0)], "expr double")
