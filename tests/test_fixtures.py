@@ -457,6 +457,37 @@ def test_thinning_rule(spark):
         assert got == sorted(convergence.kept_iterations(total, out)) and len(got) == out
 
 
+def test_unique_places_are_numbers_of_observed_fragments(spark, tmp_path):
+    from readweave.operators import fragments
+    from readweave.plans.alignment_queries import _unique
+    from readweave.plans.domain import Domain
+
+    mate = "struct<qname:string,flag:int,tid:int,pos:int,cigar:string,seq:string,qual:string>"
+    m = lambda name, flag, tid, pos, cigar="4M": (name, flag, tid, pos, cigar, "ACGT", "IIII")
+    reads = [
+        ("a", m("a/1", 67, 0, 3, "2M1D2M"), m("a/2", 131, 0, 9), True), ("b", m("b", 16, 1, 5), None, False),
+        ("c", m("c", 0, 0, 1), None, False), ("c", m("c", 0, 1, 2), None, False), ("d", m("d", 4, -1, 0), None, False), ("d", m("d", 0, 1, 7), None, False),
+        ("e", m("e", 67, 0, 3), m("e", 131, 1, 9), True), ("f", m("f", 67, 0, 3), m("g", 131, 0, 9), True), ("h", m("h", 83, 1, 20), m("h", 163, 1, 2), True),
+        ("i", m("i", 0, 9, 1), None, False), (None, m("j", 0, 0, 1), None, False), ("k", m("k", 73, 1, 4), None, False), ("k", m("k", 0, 0, 4), None, False),
+    ]
+    df = spark.createDataFrame(reads, f"read_id string, first {mate}, second {mate}, paired boolean")
+    cols = ["first.flag", "first.tid", "first.pos", "second.flag", "second.tid", "second.pos", "paired", "end1", "end2", "frag_len"]
+    want = fragments.observe_unique(df, fragments.read_summary(df), 2).select(cols).collect()
+    assert sorted(map(str, fragments.unique_places(df, 2).select(cols).collect())) == sorted(map(str, want)) and len(want) == 4
+    # what the bias queries lay out by read
+    docs = [(i, "lorem ipsum dolor sit amet " * (i + 2), "en", "s", 1) for i in range(3)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    seen = _unique(Domain(spark, str(tmp_path)))
+    assert seen.schema["first"].dataType.names == ["flag", "tid", "pos"] and seen.rdd.getNumPartitions() >= 96
+
+
+def test_uniform_end_runs_from_short_to_long(spark):
+    ends = [(0, 10, f, m, 0, w) for f, m, w in [(4, 5, 1.0), (4, 5, 2.0), (7, 5, 4.0), (4, 3, 7.0), (7, 3, 4.0), (10, 3, 1.0), (12, 5, 1.0), (12, 3, 1.0)]]
+    got = bias.uniform_end_runs(spark.createDataFrame(ends, "tid long, tr_len long, frag_len long, mate int, pos long, w double"))
+    want = [(3, 3, 6, 1.0), (3, 6, 9, 2.0), (3, 9, 10, 3.0), (5, 0, 4, 3 / 7 + 1.0), (5, 4, 7, 3 / 7)]
+    assert sorted((r.mate, r.p, r.next, round(r.w, 9)) for r in got.collect()) == [(*edges, round(w, 9)) for *edges, w in want]
+
+
 def test_uniform_sequence_bias_brute_force(spark):
     seqs_local = {0: "ACGTTGCANACGGT" * 3, 1: "TTGACCAGTA" * 4}
     seen = [(0, 30, 5), (0, 30, 3), (0, 22, 5), (1, 25, 3)]
