@@ -219,6 +219,32 @@ def test_gene_models_from_exons(spark):
     assert [(r.gene_id, r.start, r.end, r.seq) for r in out] == [("G1", 11, 40, want)]
 
 
+def test_strip_tail(spark):
+    texts = ["", "ACGT", "AC!GT", "ACGT!x", "!!", "AC\n", "AC!\n", "\nAC", "n-Zé", None]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, s string").select("i", sequence.strip_tail(F.col("s")).alias("s")).orderBy("i").collect()
+    assert [r.s for r in got] == ["", "ACGT", "AC!GT", "ACGT", "", "AC", "AC", "\nAC", "n-", None]
+
+
+def test_gene_sequences_read_exons_once(spark):
+    from readweave.operators import annotation
+
+    lines = [f'{c}\ts\texon\t{s}\t{s + 9}\t.\t+\t.\tgene_id "{g}";' for c, s, g in [("chr1", 11, "A"), ("chr1", 31, "A"), ("2", 1, "B"), ("2", 21, "B"), ("3", 1, "C"), ("chr4", 1, "D"), ("5", 1, "D"), ("chr6", 1, "E"), ("chr6", 5, "E")]]
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for pdf in batches:
+            read.add(len(pdf))
+            yield pdf
+
+    gtf = sequence.parse_gtf(spark.createDataFrame([(v,) for v in lines], "value string").mapInPandas(count, "value string"))
+    seq = {n: "ACGTTGCAAC" * 4 + n.replace("chr", "N" * int(n[-1])) for n in ("1", "2", "chr2", "4", "5", "chr7")}
+    genome = spark.createDataFrame(list(seq.items()), "chromosome string, seq string")
+    got = sorted((r.seqname, r.gene_id, r.start, r.end, r.seq) for r in annotation.gene_sequences(annotation.gene_models(gtf), gtf, genome).collect())
+    doubled = "".join(sorted([seq["2"][:30]] * 2))  # both 2 and, as it has no gene of its own, chr2
+    assert got == [("2", "B", 1, 30, doubled), ("5", "D", 1, 10, seq["5"][:10]), ("chr1", "A", 11, 40, seq["1"][10:40]), ("chr4", "D", 1, 10, seq["4"][:10])]
+    assert read.value == len(lines)
+
+
 def test_order_statistics_same_when_split(spark):
     data = [(k % 2, float((k * 37) % 501)) for k in range(4000)]
     df = spark.createDataFrame(data, "k int, v double")
