@@ -174,7 +174,8 @@ def links(prints: DataFrame) -> DataFrame:
     """``a, b``: enough links between the distinct fingerprints ``fp`` to join all that are connected at ``BITS`` bits."""
     copied = prints.select("fp").mapInArrow(_copies, "anchor bigint, fp bigint")
     shared = copied.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1")
-    met = copied.join(shared, "anchor").withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int"))
+    # merged by decree: Spark takes the copies to be as small as the fingerprints they are made of, and would broadcast them
+    met = copied.join(shared.hint("merge"), "anchor").withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int"))
     met = met.withColumn("tile", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     pieces = met.select("anchor", F.least("tile", "other").cast("bigint").alias("i"), F.greatest("tile", "other").cast("bigint").alias("j"), "fp")
     dealt = pieces.repartition("anchor", "i", "j").sortWithinPartitions("anchor", "i", "j", "fp")

@@ -5,6 +5,7 @@ import pytest
 import xxhash
 from readweave.llm import simhash
 from readweave.llm.components import roots
+from readweave.session import cut_lineage
 
 SF = "/root/testdata/sf0.001"
 
@@ -104,3 +105,13 @@ def test_edges(spark, rows):
     out = simhash.one_of_each(docs)
     assert out.columns == docs.columns
     assert sorted(r["doc_id"] for r in out.collect()) == ([2, 3] if rows else [])
+
+
+def test_copies_are_not_broadcast(spark):
+    # fingerprints are few bytes, their copies at anchors some fifty times as many
+    rng = np.random.default_rng(5)
+    prints = [(int(x),) for x in rng.integers(0, 1 << 62, 500)]
+    found = simhash.links(cut_lineage(spark.createDataFrame(prints, "fp bigint")))
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
