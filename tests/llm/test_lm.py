@@ -100,3 +100,21 @@ def test_texts_are_read_and_split_once(spark):
     assert out.columns == ["doc_id", "lm"] and all(r["lm"]["n_tokens"] == 27 for r in out.collect())
     # the text is asked for by its numbers and by its size
     assert read.value <= 2 * 40
+
+
+def test_each_round_trains_on_every_token(spark, monkeypatch):
+    texts = spark.createDataFrame([(f"a b c {i} " * (1 + i % 5),) for i in range(30)], "text string").coalesce(1)
+    words = sum(4 * (1 + i % 5) for i in range(30))
+    learned = []
+
+    real = type(texts).mapInArrow
+
+    def watched(self, func, schema, *more, **named):
+        out = real(self, func, schema, *more, **named)
+        if "seen" in str(schema):
+            learned.append(out.agg(F.max("seen")).first()[0])
+        return out
+
+    monkeypatch.setattr(type(texts), "mapInArrow", watched)
+    assert lm.fitted(texts.select(lm.raw(texts.text).alias("text"))) is not None
+    assert learned == [words] * lm.ROUNDS
