@@ -10,6 +10,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from readweave.functions import draws
 from readweave.functions import dna, numeric, random as rnd
 from readweave.functions.order import credible_interval, cumulative_counts
 from readweave.functions.ranking import global_rank
@@ -429,6 +430,18 @@ def test_gamma_columns_are_the_same_draws(spark, uniform):
     assert got.filter("NOT one <=> other OR one IS NULL").count() == 0
 
 
+def test_gammas_of_arrays_are_the_same_draws(spark):
+    rng = np.random.default_rng(8)
+    keys = [(int(t), int(f), float(s)) for t, f, s in zip(rng.integers(0, 10 ** rng.integers(1, 12, 400)), rng.integers(0, 30, 400) * 50, rng.random(400) * 9 + 0.05, strict=True)]
+    rows = spark.createDataFrame([*keys, (-3, 0, 2.0), (10**18, 900, 0.3), (7, 1480, 1.0)], "tr long, begin long, shape double").filter("begin < 1500")
+    got = rows.select("tr", "begin", "shape", F.posexplode(draws.gammas(-12, 1500, 50)("tr", "begin", "shape")).alias("at", "g")).withColumn("n", F.col("begin") + F.col("at"))
+    both = rnd.with_gamma(got, "one", -12, F.col("shape"), "tr", "n")
+    seen = both.agg(F.count(F.lit(1)).alias("n"), F.max("n").alias("top"), F.max(F.abs(F.col("g") / F.col("one") - 1)).alias("off"), F.count_if(F.col("g").isNull() | F.col("one").isNull()).alias("none")).first()
+    assert seen["n"] == 402 * 50 + 20 and seen["top"] == 1499 and seen["off"] < 1e-9 and not seen["none"]
+    sums = rows.mapInArrow(draws.gamma_sums(-12, 1500, 50), "n long, sum double").groupBy("n").agg(F.sum("sum").alias("sum"))
+    assert sums.join(got.groupBy("n").agg(F.sum("g").alias("g")), "n", "full").filter("NOT coalesce(abs(sum / g - 1) < 1e-9, false)").count() == 0
+
+
 @pytest.mark.parametrize("kind", ["theta", "rpkm"])
 def test_draws_are_dealt_to_all_tasks(spark, monkeypatch, kind):
     """Few rows make many draws; Spark would put so few bytes into one task."""
@@ -707,3 +720,17 @@ def test_context_counts_make_no_row_per_node(spark):
     counted = bias._context_rows(spark.createDataFrame(rows, "mate int, win string, w double"))
     assert {tuple(r)[:5]: r.w for r in counted.collect()} == want
     assert "Generate" not in counted._jdf.queryExecution().executedPlan().toString()
+
+
+def test_draws_are_not_written(spark, monkeypatch):
+    written, rows = vb.cut_lineage, []
+
+    def watched(df):
+        out = written(df)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(vb, "cut_lineage", watched)
+    alphas = spark.range(401).select(F.col("id").alias("tr_id"), F.lit(2.0).alias("alpha"))
+    assert vb.vb_samples(alphas, 60, 1).count() == 400 * 60
+    assert sum(rows) <= 60 * int(spark.conf.get("spark.sql.shuffle.partitions"))
