@@ -4,18 +4,22 @@ import gzip
 import itertools
 import math
 import struct
+import time
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from readweave import session
 from readweave.functions import draws
 from readweave.functions import dna, numeric, random as rnd
 from readweave.functions.order import credible_interval, cumulative_counts
 from readweave.functions.ranking import global_rank
 from readweave.operators import bias, contrasts, convergence, expression as de, fragments, genes, hits, hyper, samples, scoring, smoothing
 from readweave.operators import sampling, variational as vb
+from readweave.plans import alignment_queries
+from readweave.plans.domain import Domain
 from readweave.sources import alignments as aln, sequence, tables, writers
 from readweave.sources.lines import parse_header
 
@@ -734,3 +738,30 @@ def test_draws_are_not_written(spark, monkeypatch):
     alphas = spark.range(401).select(F.col("id").alias("tr_id"), F.lit(2.0).alias("alpha"))
     assert vb.vb_samples(alphas, 60, 1).count() == 400 * 60
     assert sum(rows) <= 60 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_written_frames_leave_no_shuffle_files(spark):
+    def left():
+        tracker = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+        return sum(1 for f in tracker.getAllFiles().toString().split() if "shuffle_" in f)
+
+    before, setting = left(), spark.conf.get(session.DROP_SHUFFLES, None)
+    frame = session.cut_lineage(spark.range(1000).repartition(4, "id"))
+    for _ in range(50):
+        if left() <= before:
+            break
+        time.sleep(0.1)
+    assert left() <= before and spark.conf.get(session.DROP_SHUFFLES, None) == setting
+    assert frame.count() == 1000
+
+
+def test_sam_lines_are_not_shuffled(spark):
+    d = Domain(spark, "/root/testdata/sf0.001")
+    lines = alignment_queries.sam_lines(d)
+    plan = lines._jdf.queryExecution().executedPlan().toString()
+    head = d.doc_trs.count()
+    got = [r["value"] for r in lines.collect()]
+    assert "rangepartitioning(doc_id" in plan and "rangepartitioning(frag_seq" not in plan and "rangepartitioning(part" not in plan
+    assert all(x.startswith("@SQ") for x in got[:head]) and not any(x.startswith("@") for x in got[head:])
+    places = [(int(x.split("\t")[2][3:]), int(x.split("\t")[1]) & 128) for x in got[head:]]
+    assert [p[0] for p in places] == sorted(p[0] for p in places)
